@@ -40,12 +40,13 @@ def bounded_sample(df: DataFrame, by: str, rows: int, key: str = "doc_id") -> Da
     """At most `rows` rows of each value of `by`, those of lowest hash of `key`.
 
     A first pass counts each value, so that the window only sorts about twice the rows asked for, however many there are.
+    For values that are few (labels, languages): the sample holds rows of each, and their counts are broadcast.
     """
     counts = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
     unit = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     near = (
         df.withColumn("_u", unit)
-        .join(counts, F.col(by) == F.col("_by"))
+        .join(F.broadcast(counts), F.col(by) == F.col("_by"))
         .where(F.col("_u") * F.col("_n") <= 2.0 * rows)
     )
     rank = F.row_number().over(Window.partitionBy("_by").orderBy("_u", key))

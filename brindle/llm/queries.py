@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, rules
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1,
+        "op8_quality_rules": rules.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": rules.OP8_SQL}
