@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality, rules
+from . import language, mixing, quality, rules
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1,
+        "op5_language_id": language.op5,
+        "op6_mixing": mixing.op6,
         "op8_quality_rules": rules.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": rules.OP8_SQL}
+    return {"op6_mixing": mixing.OP6_SQL, "op8_quality_rules": rules.OP8_SQL}
