@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality, rules
+from . import chat, language, mixing, quality, rules
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1,
+        "op3_chat_formatting": chat.op3,
         "op5_language_id": language.op5,
         "op6_mixing": mixing.op6,
         "op8_quality_rules": rules.op8,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL, "op8_quality_rules": rules.OP8_SQL}
+    return {"op3_chat_formatting": chat.OP3_SQL, "op6_mixing": mixing.OP6_SQL, "op8_quality_rules": rules.OP8_SQL}
