@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, quality, rules
+from . import chat, language, mixing, quality, rules, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1,
+        "op2_simhash_near_dedup": simhash.op2,
         "op3_chat_formatting": chat.op3,
         "op5_language_id": language.op5,
         "op6_mixing": mixing.op6,
