@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, quality, rules, simhash
+from . import chat, language, mixing, quality, rules, simhash, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_classifier": quality.op1,
         "op2_simhash_near_dedup": simhash.op2,
         "op3_chat_formatting": chat.op3,
+        "op4_token_files": tokens.op4,
         "op5_language_id": language.op5,
         "op6_mixing": mixing.op6,
         "op8_quality_rules": rules.op8,
