@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, language, lm, mixing, quality, rules, simhash, tokens
+from . import chat, embeddings, language, lm, mixing, pieces, quality, rules, simhash, tokens
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_token_files": tokens.op4,
         "op5_language_id": language.op5,
         "op6_mixing": mixing.op6,
+        "op7_sentencepiece": pieces.op7,
         "op8_quality_rules": rules.op8,
         "op9_embedding_near_dedup": embeddings.op9,
         "op10_lm_scoring": lm.op10,
