@@ -12,7 +12,7 @@ Where the budget falls inside a hash value, that value is taken if this brings t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, staged
@@ -82,19 +82,37 @@ def thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
     return here.select("source", "budget", (F.col("digit") + F.when(nearer, 1).otherwise(0)).alias("edge"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """(key, size, source_size, target, copies): how often the mix takes each document."""
+def rules(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> tuple[DataFrame, DataFrame]:
+    """(hashed rows (id, source, size, h), one staged rule a source (_source, source_size, target, edge))."""
     hashed = staged(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), unit_hash(key).alias("h")), "mix")
     sizes = hashed.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = staged(targets(sizes, **how), "mix")
     budget = F.when(F.col("target") > F.col("source_size"), F.col("target") - F.col("source_size")).otherwise(F.col("target"))
     edges = thresholds(hashed, goal.select("source", budget.alias("budget")))
-    rule = staged(
-        goal.join(edges, goal["source"].eqNullSafe(edges["source"]), "left").select(goal["source"].alias("_s"), "source_size", "target", "edge"), "mix"
-    )
-    inside = F.when(F.col("h") < F.col("edge"), 1).otherwise(0)
-    copies = inside + F.when(F.col("target") > F.col("source_size"), 1).otherwise(0)
-    return hashed.join(rule, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("id").alias(key), "size", "source_size", "target", copies.cast("long").alias("copies"))
+    same = goal["source"].eqNullSafe(edges["source"])
+    rule = goal.join(edges, same, "left").select(goal["source"].alias("_source"), "source_size", "target", "edge")
+    return hashed, staged(rule, "mix")
+
+
+def copies(h: Column) -> Column:
+    """How often the mix takes a document of hash h, by the columns of its source's rule."""
+    inside = F.when(h < F.col("edge"), 1).otherwise(0)
+    return (inside + F.when(F.col("target") > F.col("source_size"), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """(key, size, source_size, target, copies): how often the mix takes each document."""
+    hashed, rule = rules(docs, key, source, text, **how)
+    joined = hashed.join(rule, F.col("source").eqNullSafe(F.col("_source")))
+    return joined.select(F.col("id").alias(key), "size", "source_size", "target", copies(F.col("h")).alias("copies"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
+    _, rule = rules(docs, key, source, text, **how)
+    joined = docs.join(rule, docs[source].eqNullSafe(rule["_source"]))
+    times = F.explode(F.array_repeat(F.lit(1), copies(unit_hash(key)).cast("int")))
+    return joined.withColumn("_time", times).select(*[docs[c] for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

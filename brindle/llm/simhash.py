@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
@@ -203,6 +203,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
     return rows.join(of, "print").select(F.col("id").alias(key), "print", "component")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 3) -> DataFrame:
+    """docs without all but one document of each component, that of the smallest id.
+
+    Of rows with that same id, one stays.  Documents without an id stay, as no id of theirs could name them.
+    """
+    first = near_duplicates(docs, key, text, reach).where(F.col(key) == F.col("component")).select("component").distinct()
+    of_id = Window.partitionBy("component").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    named = docs.join(staged(first, "simhash"), docs[key] == F.col("component")).withColumn("_nth", F.row_number().over(of_id))
+    return named.where("_nth = 1").select(*docs.columns).union(docs.where(docs[key].isNull()))
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(
