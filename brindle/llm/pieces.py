@@ -28,9 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import types as T
 
 from .common import staged
 from .tokens import Encoder
@@ -135,20 +136,23 @@ def model(path: str) -> Model:
 class UnitEncoder(Encoder):
     """tokens.Encoder over a sentencepiece model, whose first word is led by a space like any other."""
 
-    def __init__(self, path: str, units: int = 300_000):
-        self.model, self.most = model(path), units
-        self._clear()
+    def __init__(self, path: str, units: int = 2_000_000):
+        self.model = model(path)
+        self._clear(units)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in self.model.library.encode(texts, num_threads=1)] if texts else []
 
-    def _learn(self, words: list[str]) -> None:
+    def units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.model.library.encode(words, num_threads=1)
         count = np.fromiter(map(len, found), np.int64, len(found))
-        self.known.update(zip(words, range(len(self.count), len(self.count) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+        return np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())), count
+
+
+@functools.lru_cache(1)
+def encoder_of(path: str) -> UnitEncoder:
+    """One encoder a worker process, kept from task to task."""
+    return UnitEncoder(path)
 
 
 class Chunk:
@@ -253,7 +257,7 @@ def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFr
     chunks = giants.select("_row", F.col(text).alias("_text")).mapInPandas(cut, "_row long, k long, text string, start long, size long, final boolean")
     chunks = staged(chunks.repartition("_row", "k"), "pieces")
 
-    def of(r, m: Model) -> Chunk:
+    def chunk_of(r, m: Model) -> Chunk:
         if m.longest > longest:
             raise ValueError("a piece is longer than the margin")
         return Chunk(m, r.text, r.start, r.start + r.size, r.k == 0, r.final)
@@ -261,7 +265,7 @@ def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFr
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for part in batches:
-            found = [[(r._0, r.k, *i, *j) for i, js in of(r, m).matrix().items() for j in sorted(js)] for r in part.rename(columns={"_row": "_0"}).itertuples(name="R")]
+            found = [[(r.of, r.k, *i, *j) for i, js in chunk_of(r, m).matrix().items() for j in sorted(js)] for r in part.rename(columns={"_row": "of"}).itertuples(name="R")]
             yield pd.DataFrame([x for f in found for x in f], columns=["_row", "k", "i", "before", "j", "after"])
 
     def solved(own: pd.DataFrame) -> pd.DataFrame:
@@ -274,9 +278,9 @@ def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFr
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for part in batches:
-            part = part.rename(columns={"_row": "_0"})
-            ids = [of(r, m).trace((r.i, r.before), (r.j, r.after)) for r in part.itertuples(name="R")]
-            yield pd.DataFrame({"_row": part["_0"], "k": part["k"], "ids": ids})
+            part = part.rename(columns={"_row": "of"})
+            ids = [chunk_of(r, m).trace((r.i, r.before), (r.j, r.after)) for r in part.itertuples(name="R")]
+            yield pd.DataFrame({"_row": part["of"], "k": part["k"], "ids": ids})
 
     entries = "_row long, k long, i long, before string, j long, after string"
     states = chunks.mapInPandas(transfer, entries).groupBy("_row").applyInPandas(solved, entries)  # some entries a chunk
@@ -288,53 +292,60 @@ def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFr
 def encode(docs: DataFrame, path: str, text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """docs with `pieces` (array<int>), the ids of the sentencepiece model at `path`."""
 
-    @pandas_udf("array<int>")
-    def ordinary(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = UnitEncoder(path)
-        for texts in batches:
-            out: list[np.ndarray] = []
-            for i in range(0, len(texts), 2000):
-                out += encoder.encode(pa.array([t if isinstance(t, str) else "" for t in texts[i : i + 2000]], pa.string()))
-            yield pd.Series([x.astype(np.int32) for x in out])
-
     docs = docs.drop("pieces")
     long = F.coalesce(F.length(text) >= giant, F.lit(False))
     giants = staged(docs.where(long).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     found = giants.join(_giant_pieces(giants, path, text, chunk), "_row").drop("_row")
-    return docs.where(~long).withColumn("pieces", ordinary(F.col(text))).unionByName(found)
+    short = docs.where(~long)
 
+    def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
+        for part in _slices(batches):
+            ids = encoder.encode(pc.fill_null(part.column(part.schema.get_field_index(text)), ""))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pieces], [*part.schema.names, "pieces"])
 
-def decode(docs: DataFrame, path: str, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
-    """docs with the text of their pieces in the column `out`."""
+    return short.mapInArrow(ordinary, T.StructType([*short.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])).unionByName(found)
 
-    @pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = model(path)
-        for ids in batches:
-            yield ids.map(lambda x: m.decode(x.tolist()), na_action="ignore")
 
-    return docs.withColumn(out, decoded(F.col(pieces)))
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Small parts of Arrow batches, so that what a part expands to stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-@functools.cache
-def _digest():
-    @pandas_udf("long")
-    def digest(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(x.astype("<u4").tobytes()))
+def decode(docs: DataFrame, path: str, pieces: str = "pieces", out: str = "decoded") -> DataFrame:
+    """docs with the text of their pieces in the column `out`."""
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for part in _slices(batches):
+            lists = part.column(part.schema.get_field_index(pieces))
+            texts = pa.array([None if x is None else m.decode(x) for x in (v.as_py() for v in lists)], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, out])
 
-    return digest
+    docs = docs.drop(out)
+    return docs.mapInArrow(decoded, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text; the digests of the result are taken where the ids are, so neither they nor texts travel back."""
     import public_tokenizers
 
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode(encode(docs, path), path)
-    return back.select(
-        "doc_id",
-        F.size("pieces").cast("long").alias("n_pieces"),
-        _digest()("pieces").alias("ids_crc32"),
-        F.length("decoded").cast("long").alias("decoded_chars"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"),
-    )
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for part in _slices(batches):
+            ids = [np.asarray(x.values) for x in part.column(2)]
+            texts = [m.decode(x.tolist()) for x in ids]
+            same = [(t or "") == d for t, d in zip(part.column(1).to_pylist(), texts, strict=True)]
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            counts = (pa.array([len(x) for x in v], pa.int64()) for v in (ids, texts))
+            n, chars = counts
+            yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(crc, pa.int64()), chars, pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "decoded_chars", "same_text"])
+
+    return encoded.select("doc_id", "text", "pieces").mapInArrow(digests, "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, same_text boolean")
