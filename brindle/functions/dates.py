@@ -23,7 +23,14 @@ def pattern(strftime: str) -> str:
             out += STRFTIME[strftime[i + 1]]
             i += 2
             continue
-        out += f"'{c}'" if c.isalpha() else "''" if c == "'" else c
+        if c.isalpha():
+            j = i
+            while j < len(strftime) and strftime[j].isalpha():
+                j += 1
+            out += f"'{strftime[i:j]}'"
+            i = j
+            continue
+        out += "''" if c == "'" else c
         i += 1
     return out
 

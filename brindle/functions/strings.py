@@ -66,7 +66,7 @@ def to_code_points(text: Column) -> Column:
 
 def code_points_to_string(points: Column) -> Column:
     """CODE_POINTS_TO_STRING, over UTF-32 bytes: Spark's chr stops at 255."""
-    return F.array_join(F.transform(points, lambda p: F.decode(F.unhex(F.lpad(F.hex(p.cast("bigint")), 8, "0")), "UTF-32BE")), "")
+    return F.array_join(F.transform(points, lambda p: F.decode(F.unhex(F.lpad(F.hex(p.cast("bigint")), 8, "0")), "UTF-32")), "")
 
 
 def normalize(text: Column, form: str = "NFC", casefold: bool = False) -> Column:

@@ -26,6 +26,6 @@ def query(sql: str | None = None):
 
 
 def catalogue() -> tuple[dict, dict]:
-    from . import aggregates, events, joins, nested, scalars, scans, sets, texts, windows  # noqa: F401
+    from . import aggregates, events, joins, nested, scalars, scans, sets, texts, warehouse, windows  # noqa: F401
 
     return QUERIES, SQL
