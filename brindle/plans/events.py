@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from ..streaming.windows import sessions, sliding, tumbling
 from . import query
 
-TS = F.col("ts").cast("timestamp")
-
 
 @query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def tumbling_windows(t, spark):
@@ -50,6 +48,6 @@ def dedup_first(t, spark):
 
 @query("""SELECT user_id, round(avg(gap), 3) AS gap FROM (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6 AS gap FROM events) GROUP BY 1""")
 def mean_gap(t, spark):
-    us = F.unix_micros(TS)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = (us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts"))) / 1e6
     return t("events").select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.round(F.avg("gap"), 3).alias("gap"))

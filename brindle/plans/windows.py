@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..operators.relational import qualify
 from . import query
 
-BY_CUSTOMER = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+def by_customer():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 @query("""SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey
@@ -29,13 +31,13 @@ def rank_dense(t, spark):
 @query("""SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2, -1) OVER w AS after2 FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def lag_lead(t, spark):
-    return t("orders").select("o_orderkey", F.lag("o_orderkey").over(BY_CUSTOMER).alias("before"), F.lead("o_orderkey", 2, -1).over(BY_CUSTOMER).alias("after2"))
+    return t("orders").select("o_orderkey", F.lag("o_orderkey").over(by_customer()).alias("before"), F.lead("o_orderkey", 2, -1).over(by_customer()).alias("after2"))
 
 
 @query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS spent FROM orders""")
 def running_sum_rows(t, spark):
-    w = BY_CUSTOMER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = by_customer().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return t("orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("spent"))
 
 
