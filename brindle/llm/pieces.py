@@ -143,8 +143,8 @@ class UnitEncoder(Encoder):
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in self.model.library.encode(texts, num_threads=1)] if texts else []
 
-    def units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.model.library.encode(words, num_threads=1)
+    def units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.library.encode(words.to_pylist(), num_threads=1)
         count = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())), count
 
