@@ -103,13 +103,15 @@ def _cutoffs(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judge(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """counted (staged rows of text_counts and the group columns) with base_failed and kept.
+    """counted (text_counts and the group columns, without the texts) with base_failed and kept.
+
+    The counts are staged first: they are read twice, and Spark would push the filters on them into the array functions.
 
     The cutoffs join on language and source; their table has a row for each group, and Spark broadcasts it only if its measured
     size is under the session's threshold, else both sides are shuffled and a hot group is split by AQE.
     """
     m = _measures()
-    rows = counted.withColumn("base_failed", base_failed())
+    rows = staged(counted, "rules").withColumn("base_failed", base_failed())
     good = rows.where(~F.col("base_failed")).select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), *[v.alias(k) for k, v in m.items()])
     groups = sketch(good, ["_lang", "_source"], {k: F.col(k) for k in m})
     own = _cutoffs(quartiles(groups, ["_lang", "_source"]), ["_lang", "_source"]).where(F.col("total") >= MIN_GROUP).drop("total")
@@ -127,7 +129,7 @@ def judge(counted: DataFrame, lang: str = "lang", source: str = "source") -> Dat
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counted = staged(text_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"), "rules")
+    counted = text_counts(docs.select("doc_id", "lang", "source", "text")).drop("text")
     return judge(counted).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
