@@ -41,6 +41,8 @@ SCRIPTS = tuple(dict.fromkeys(s for _, s in SCRIPT_RANGES))
 BITS, LONGEST = 16, 4
 #: Log-probability lost at each change of language, and that of a word in a script its language was never seen in.
 SWITCH, FOREIGN = 12.0, -40.0
+#: Characters that are worked on at a time: arrays of some hundred bytes a character.
+GROUP = 500_000
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.005
 
@@ -153,7 +155,7 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float =
         came[at], switched[at] = top, move
         best = np.where(move, high[:, None], best) + scores[at]
         best -= best.max(axis=1, keepdims=True)
-        ending = m if t + 1 >= size[0] else active[t + 1]
+        ending = active[t + 1]  # the texts that go on
         if ending < m:
             out[at[ending:]] = best[ending:].argmax(axis=1)
     short = size == 1
@@ -166,6 +168,19 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float =
     return out
 
 
+def groups(texts: list[str], most: int = GROUP) -> Iterator[list[int]]:
+    """Places of texts in groups of about `most` characters or one text; texts of like length go together, as they advance together."""
+    held, size = [], 0
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        if held and size + len(texts[i]) > most:
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += len(texts[i])
+    if held:
+        yield held
+
+
 def spans(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, int, int, int]]]:
     """For each text its spans (language, first word, words, letters); none for a text without a letter."""
     if not model.langs:
@@ -195,16 +210,17 @@ def fit(docs: DataFrame, docs_per_lang: int = 1000, key: str = "doc_id") -> Lang
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for lang, own in part.groupby("lang"):
-                words = words_of(own["text"].tolist())
-                rows = []
-                for n, h, ok in grams(words.codes):
-                    hashes, c = np.unique(h[ok].astype(np.int64), return_counts=True)
-                    rows.append(pd.DataFrame({"lang": lang, "kind": n, "h": hashes, "c": c}))
-                if len(words.codes):
-                    letters = _letters()[words.codes]
-                    s, c = np.unique(_scripts()[words.codes[letters]], return_counts=True)
-                    rows.append(pd.DataFrame({"lang": lang, "kind": 0, "h": s.astype(np.int64), "c": c}))
-                yield pd.concat(rows) if rows else pd.DataFrame({"lang": [], "kind": [], "h": [], "c": []})
+                texts = own["text"].tolist()
+                for some in groups(texts):
+                    words = words_of([texts[i] for i in some])
+                    rows = [pd.DataFrame({"lang": [], "kind": [], "h": [], "c": []})]
+                    if len(words.codes):
+                        letters = _letters()[words.codes]
+                        found = [(0, _scripts()[words.codes[letters]]), *((n, h[ok]) for n, h, ok in grams(words.codes))]
+                        for kind, keys in found:
+                            h, c = np.unique(keys, return_counts=True)
+                            rows.append(pd.DataFrame({"lang": lang, "kind": kind, "h": h.astype(np.int64), "c": c}))
+                    yield pd.concat(rows[1:] or rows)
 
     sums = sample.mapInPandas(counted, "lang string, kind int, h long, c long").groupBy("lang", "kind", "h").agg(F.sum("c").alias("c")).toPandas()
     langs = tuple(sorted(sums["lang"].unique()))
@@ -231,33 +247,23 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = "struct<lang:string,score:double,spans:array<struct<lang:string,first_word:long,words:long,letters:long>>>"
 
-    def labelled(texts: list[str]) -> Iterator[dict]:
-        for s in spans(sent.value, texts):
-            total: dict[str, int] = {}
-            for lang, _, _, letters in s:
-                total[lang] = total.get(lang, 0) + letters
-            if not total:
-                yield {"lang": "und", "score": 0.0, "spans": []}
-                continue
-            best = min(total, key=lambda x: (-total[x], x))
-            yield {
-                "lang": best,
-                "score": total[best] / sum(total.values()),
-                "spans": [dict(zip(("lang", "first_word", "words", "letters"), x, strict=True)) for x in s],
-            }
+    def label(s: list[tuple[str, int, int, int]]) -> tuple[str, float, list[dict]]:
+        total: dict[str, int] = {}
+        for lang, _, _, letters in s:
+            total[lang] = total.get(lang, 0) + letters
+        if not total:
+            return "und", 0.0, []
+        best = min(total, key=lambda x: (-total[x], x))
+        return best, total[best] / sum(total.values()), [dict(zip(("lang", "first_word", "words", "letters"), x, strict=True)) for x in s]
 
     @pandas_udf(kind)
     def labels(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
-            out: list[dict] = []
-            while texts:  # groups of some million characters, or one text
-                size, upto = 0, 0
-                while upto < len(texts) and (upto == 0 or size + len(texts[upto]) <= 2_000_000):
-                    size += len(texts[upto])
-                    upto += 1
-                out.extend(labelled(texts[:upto]))
-                texts = texts[upto:]
+            out: list = [None] * len(texts)
+            for some in groups(texts):
+                for i, s in zip(some, spans(sent.value, [texts[i] for i in some]), strict=True):
+                    out[i] = label(s)
             yield pd.DataFrame(out, columns=["lang", "score", "spans"])
 
     found = docs.withColumn("_found", labels.asNondeterministic()(F.col(text)))
