@@ -136,7 +136,7 @@ def model(path: str) -> Model:
 class UnitEncoder(Encoder):
     """tokens.Encoder over a sentencepiece model, whose first word is led by a space like any other."""
 
-    def __init__(self, path: str, units: int = 2_000_000):
+    def __init__(self, path: str, units: int = 500_000):  # kept from task to task, beside what other stages' workers hold
         self.model = model(path)
         self._clear(units)
 
