@@ -121,6 +121,37 @@ def test_simhash_large_buckets(spark, spread, monkeypatch):
     assert groups(len(p), [(at[r.a], at[r.b]) for r in found.collect()]) == groups(len(p), pairs)
 
 
+def plain_shingles(text):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def plain_alike(texts):
+    sets = [plain_shingles(t) for t in texts]
+    same = lambda a, b: a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)) > 0
+    return groups(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if same(sets[i], sets[j])])
+
+
+@pytest.mark.parametrize("part", [64, 4])
+def test_keep_one_by_shingles(spark, monkeypatch, part):
+    """The stage keeps one document of each group at Jaccard 0.8 of 5-word shingles, copies at many bits of SimHash too."""
+    monkeypatch.setattr(simhash, "STAGE_PART", part)
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(40):
+        base = [f"w{i}" for i in rng.integers(0, 3000, rng.integers(60, 300))]
+        for _ in range(30 if k == 0 else 3):
+            copy = base.copy()
+            for at in rng.integers(0, len(base), rng.integers(0, 1 + len(base) // 30)):
+                copy[at] = f"c{rng.integers(99)}"
+            texts.append(" ".join(copy))
+    texts += ["a b", "A  b", "", None, "a b c d e", "a b c d e f"]
+    want = {i for i, r in enumerate(plain_alike(texts)) if i == r}
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if plain_alike([texts[i], texts[j]]) == [0, 0] and (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want and len(far) > 20
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 205), (205, 201), (50, 51), (51, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
