@@ -94,6 +94,13 @@ def range_price(t, spark):
     return range_join(t("orders").select("o_orderkey", "o_totalprice"), spans, "o_totalprice", "lo", "hi", 500.0).select("o_orderkey", "p_partkey")
 
 
+@query("""SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 200 AND o_totalprice < p_retailprice * 200 + 5""")
+def range_price_all(t, spark):
+    """All parts and orders; the narrow span keeps the output small."""
+    spans = t("part").select("p_partkey", (F.col("p_retailprice") * 200).alias("lo"), (F.col("p_retailprice") * 200 + 5).alias("hi"))
+    return range_join(t("orders").select("o_orderkey", "o_totalprice"), spans, "o_totalprice", "lo", "hi", 5.0).select("o_orderkey", "p_partkey")
+
+
 @query("SELECT l_returnflag, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
 def salted(t, spark):
     small = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"))
