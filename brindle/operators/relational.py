@@ -56,6 +56,20 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int =
     return a.join(b, [*on, "_salt"]).drop("_salt")
 
 
+def places(df: DataFrame, *order, name: str = "place") -> DataFrame:
+    """df with each row's place (from 1) in a global order, by ranges of the order that are staged, numbered apart and moved by the rows before them.
+
+    `order` should end in a unique column: rows that tie in all of it share a range.
+    """
+    from ..llm.common import staged
+
+    part = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "places")
+    counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return part.join(F.broadcast(before), "_part").withColumn(name, at + F.col("_before")).drop("_part", "_before")
+
+
 def wildcard_union(tables: dict[str, DataFrame], prefix: str) -> DataFrame:
     """The tables whose names begin with `prefix` as one, with `_table_suffix`; columns that a table lacks are null."""
     parts = [df.withColumn("_table_suffix", F.lit(name[len(prefix) :])) for name, df in sorted(tables.items()) if name.startswith(prefix)]

@@ -2,9 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.relational import places
 from . import query
 
 
+def by_status(orders):
+    rows = orders.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status"))
+    return places(rows, F.asc_nulls_last("status"), F.asc("o_orderkey")).select("o_orderkey", "place").orderBy("place")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def top_k(t, spark):
     """TakeOrderedAndProject: each task keeps 20 rows, and only those meet."""
@@ -42,6 +48,13 @@ def except_all(t, spark):
     return p(400).exceptAll(p(300))
 
 
+@query("SELECT o_orderpriority AS p FROM orders EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+def except_all_orders(t, spark):
+    """The priorities of all orders except all those of one status."""
+    p = F.col("o_orderpriority").alias("p")
+    return t("orders").select(p).exceptAll(t("orders").where("o_orderstatus = 'F'").select(p))
+
+
 @query("SELECT s_nationkey AS n FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer")
 def intersect_all(t, spark):
     return t("supplier").select(F.col("s_nationkey").alias("n")).intersectAll(t("customer").select("c_nationkey"))
@@ -57,7 +70,10 @@ def union_by_name(t, spark):
 @query("""SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS place
 FROM orders WHERE o_orderkey <= 200 ORDER BY place""")
 def nulls_order(t, spark):
-    from pyspark.sql import Window
+    return by_status(t("orders").where("o_orderkey <= 200"))
+
 
-    by = Window.orderBy(F.nullif(F.col("o_orderstatus"), F.lit("F")).asc_nulls_last(), "o_orderkey")
-    return t("orders").where("o_orderkey <= 200").select("o_orderkey", F.row_number().over(by).cast("bigint").alias("place")).orderBy("place")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS place FROM orders ORDER BY place")
+def nulls_order_all(t, spark):
+    """All orders, numbered range by range."""
+    return by_status(t("orders"))

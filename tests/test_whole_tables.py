@@ -18,3 +18,15 @@ def test_range_price_all(spark, folder):
         low, high = r.p_retailprice * 200, r.p_retailprice * 200 + 5
         want |= {(k, r.p_partkey) for price, k in orders if low <= price < high}
     assert {tuple(r) for r in QUERIES["range_price_all"](spark, folder).collect()} == want and max(p for _, p in want) > 500
+
+
+def test_nulls_order_all_and_except_all_orders(spark, folder):
+    """Every order has its place, nulls last, and no window takes all orders through one task; priorities of all orders are compared."""
+    rows = [(r.o_orderkey, r.o_orderstatus, r.o_orderpriority) for r in table(spark, folder, "orders").collect()]
+    found = QUERIES["nulls_order_all"](spark, folder)
+    order = sorted(rows, key=lambda r: (r[1] == "F", r[1], r[0]))
+    assert [tuple(r) for r in found.collect()] == [(r[0], i + 1) for i, r in enumerate(order)] and len(rows) > 201
+    left = sorted(r.p for r in QUERIES["except_all_orders"](spark, folder).collect())
+    kinds = {r[2] for r in rows}
+    n = {k: sum(r[2] == k for r in rows) - sum(r[2] == k and r[1] == "F" for r in rows) for k in kinds}
+    assert left == sorted(k for k in kinds for _ in range(n[k]))
