@@ -29,6 +29,14 @@ def full_outer(t, spark):
     return t("customer").where("c_custkey <= 120").join(t("supplier").where("s_suppkey >= 50"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
 
 
+@query("""SELECT nation, balance, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS nation, c_acctbal AS balance, count(*) AS n FROM customer GROUP BY 1, 2) c
+FULL JOIN (SELECT s_nationkey AS nation, s_acctbal AS balance, count(*) AS n FROM supplier GROUP BY 1, 2) s USING (nation, balance)""")
+def full_outer_all(t, spark):
+    """All customers and suppliers by nation and balance; both sides have balances that the other lacks."""
+    of = lambda name, n: t(name).groupBy(F.col(f"{name[0]}_nationkey").alias("nation"), F.col(f"{name[0]}_acctbal").alias("balance")).agg(F.count("*").alias(n))
+    return of("customer", "customers").join(of("supplier", "suppliers"), ["nation", "balance"], "full")
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def cross(t, spark):
     """Two tables of fixed size; nothing else in the library takes a product."""

@@ -30,3 +30,11 @@ def test_nulls_order_all_and_except_all_orders(spark, folder):
     kinds = {r[2] for r in rows}
     n = {k: sum(r[2] == k for r in rows) - sum(r[2] == k and r[1] == "F" for r in rows) for k in kinds}
     assert left == sorted(k for k in kinds for _ in range(n[k]))
+
+
+def test_full_outer_all(spark, folder):
+    """Every customer and supplier is counted, with rows of either side alone."""
+    rows = QUERIES["full_outer_all"](spark, folder).collect()
+    assert sum(r.customers or 0 for r in rows) == table(spark, folder, "customer").count()
+    assert sum(r.suppliers or 0 for r in rows) == table(spark, folder, "supplier").count()
+    assert any(r.customers is None for r in rows) and any(r.suppliers is None for r in rows)
