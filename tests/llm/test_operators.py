@@ -152,6 +152,16 @@ def test_keep_one_by_shingles(spark, monkeypatch, part):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want and len(far) > 20
 
 
+def test_keep_one_by_row(spark, none):
+    """Rows that share an id, or have none, are kept or removed for their own texts; ids come first, and of equal rows one stays."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey")
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (3, "own text"), (3, "own text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (3, "own text")], key=str)
+    assert simhash.keep_one(none).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 205), (205, 201), (50, 51), (51, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
