@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def qualify(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which a condition over window functions holds.  Spark turns a rank bound into a limit within each group."""
@@ -61,8 +63,6 @@ def places(df: DataFrame, *order, name: str = "place") -> DataFrame:
 
     `order` should end in a unique column: rows that tie in all of it share a range.
     """
-    from ..llm.common import staged
-
     part = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "places")
     counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
