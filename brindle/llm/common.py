@@ -4,31 +4,16 @@ from __future__ import annotations
 
 import functools
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of every contract: runs of anything but space and the five ASCII controls 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..staging import remove, shared_folder, staged, staged_at
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/brindle"
+__all__ = ["WORD", "bounded_sample", "components", "remainder", "shared_folder", "single_threaded", "staged"]
 
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing upstream."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words of every contract: runs of anything but space and the five ASCII controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def remainder(column: str, modulus: int):
@@ -37,31 +22,28 @@ def remainder(column: str, modulus: int):
 
 
 def bounded_sample(df: DataFrame, by: str, rows: int, key: str = "doc_id") -> DataFrame:
-    """At most `rows` rows of each value of `by`, those of lowest hash of `key`.
+    """At most `rows` rows of each value of `by`, those of lowest hash of `key`; rows of equal keys by the hash of all their columns.
 
     A first pass counts each value, so that the window only sorts about twice the rows asked for, however many there are.
-    For values that are few (labels, languages): the sample holds rows of each, and their counts are broadcast.
+    The counts have a row for each value; Spark broadcasts them only if their measured size is under the session's threshold.
     """
-    counts = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
-    unit = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    near = (
-        df.withColumn("_u", unit)
-        .join(F.broadcast(counts), F.col(by) == F.col("_by"))
-        .where(F.col("_u") * F.col("_n") <= 2.0 * rows)
-    )
-    rank = F.row_number().over(Window.partitionBy("_by").orderBy("_u", key))
-    return near.withColumn("_r", rank).where(F.col("_r") <= rows).drop("_r", "_u", "_n", "_by")
+    whole = df.select(F.struct(*df.columns).alias("row"), F.col(by).alias("by"), F.col(key).alias("key"))
+    counts = whole.groupBy(F.col("by").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    unit = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = whole.withColumn("u", unit).join(counts, F.col("by") == F.col("of")).where(F.col("u") * F.col("n") <= 2.0 * rows)
+    rank = F.row_number().over(Window.partitionBy("by").orderBy("u", "key", F.xxhash64("row")))
+    return near.withColumn("r", rank).where(F.col("r") <= rows).select("row.*")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a bigint, b bigint): rows (node, root), root the smallest id reachable.
 
-    Alternating large-star and small-star contraction.  Each round is staged in the shared folder; only a count and a
-    checksum reach the driver.  Nodes without an edge to another node have no row.
+    Alternating large-star and small-star contraction.  Each round is staged in the shared folder and the one before it deleted; only a
+    count and a checksum reach the driver.  Nodes without an edge to another node have no row.  The edges of a giant component all carry its
+    root: the joins on it are sort-merge joins of two sides, whose large partitions Spark's adaptive execution splits.
     """
-    e = staged(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    spark = edges.sparkSession
+    e, place = staged_at(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -72,7 +54,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
-        e = staged(small.distinct(), "edges")
+        before = place
+        e, place = staged_at(small.distinct(), "edges")
+        remove(spark, before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -4,16 +4,22 @@ Each word's script (Unicode ranges) narrows the languages to those that were see
 by its character n-grams; a Viterbi pass over the words with a penalty for each switch labels spans.  The text's language is the
 one with most letters.
 
+A text longer than GROUP characters is worked on in parts that end at white space: each part yields the max-plus matrix of its best
+scores from one language at its start to one at its end, the matrices give the language at every part's ends, and each part is then
+traced between its two.  So memory does not grow with a text, but for one byte a word.  Within a part, blocks of words advance together.
+
 Model: log-probabilities of hashed character n-grams (1 to 4, with word boundaries) for each language, learned from a bounded
 number of documents of each language and counted in Spark.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and when nothing was learned; words without a letter
-belong to the span around them; ties go to the language first by code point; repeated rows are labelled each.
+belong to the span around them; ties go to the language first by code point; a run of more than LONGEST_WORD characters is words of that many;
+repeated rows are labelled each; other columns pass through whatever their names, but for the three that are added.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bounded_sample, remainder
+from .common import bounded_sample, remainder, staged
 
 # fixed values: first code point of each range and its script, from the Unicode block list
 SCRIPT_RANGES = (
@@ -43,6 +49,10 @@ BITS, LONGEST = 16, 4
 SWITCH, FOREIGN = 12.0, -40.0
 #: Characters that are worked on at a time: arrays of some hundred bytes a character.
 GROUP = 500_000
+#: Characters after which a longer word is cut.
+LONGEST_WORD = 10_000
+#: Scores of characters, one for each language, that are held at a time.
+SLICE = 4_000_000
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.005
 
@@ -71,8 +81,11 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    """Words are what str.split() gives of the lower-cased NFC texts."""
+    """Words are what str.split() gives of the lower-cased NFC texts, cut after LONGEST_WORD characters."""
     split = [unicodedata.normalize("NFC", t).lower().split() for t in texts]
+    for i, s in enumerate(split):
+        if any(len(w) > LONGEST_WORD for w in s):
+            split[i] = [w[a : a + LONGEST_WORD] for w in s for a in range(0, len(w), LONGEST_WORD)]
     flat = [w for s in split for w in s]
     if not flat:
         none = np.zeros(0, np.int64)
@@ -89,6 +102,20 @@ def words_of(texts: list[str]) -> Words:
     return Words(codes, start, np.repeat(np.arange(len(texts)), [len(s) for s in split]), count, script)
 
 
+_SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def parts_of(text: str, most: int = GROUP) -> Iterator[str]:
+    """The text in parts of at most `most` characters that begin at white space, or after `most` characters where there is none."""
+    a = 0
+    while len(text) - a > most:
+        cut = max(text.rfind(c, a + 1, a + most) for c in _SPACES)
+        cut = cut if cut > a else a + most - most % LONGEST_WORD if most > LONGEST_WORD else a + most
+        yield text[a:cut]
+        a = cut
+    yield text[a:]
+
+
 def grams(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, hash at each place, whether the n-gram there lies within one word and its two boundaries)."""
     space = codes == 32
@@ -115,11 +142,17 @@ class LanguageModel:
 
     def word_scores(self, words: Words) -> np.ndarray:
         """(words, langs): mean-free log-likelihoods, FOREIGN where the script rules a language out, 0 for words without letters."""
-        total = np.zeros((len(words.codes), len(self.langs)), np.float32)
-        for n, h, ok in grams(words.codes):
-            at = np.flatnonzero(ok)
-            total[at] += self.table[n - 1][h[at].astype(np.int64)]
-        s = np.add.reduceat(total, words.start, axis=0).astype(np.float64)
+        s = np.zeros((len(words.start), len(self.langs)))
+        step = max(1, SLICE // len(self.langs))
+        cuts = [0, *(np.flatnonzero(np.diff(words.start // step)) + 1).tolist(), len(words.start)]
+        for a, b in zip(cuts, cuts[1:], strict=False):  # some words at a time: the table below has a row for each character
+            begin, end = int(words.start[a]), int(words.start[b]) if b < len(words.start) else len(words.codes) - 1
+            codes = words.codes[begin : end + 1]
+            total = np.zeros((len(codes), len(self.langs)), np.float32)
+            for n, h, ok in grams(codes):
+                at = np.flatnonzero(ok)
+                total[at] += self.table[n - 1][h[at].astype(np.int64)]
+            s[a:b] = np.add.reduceat(total, words.start[a:b] - begin, axis=0)
         s[words.letters == 0] = 0
         known = words.script >= 0
         may = self.allowed[words.script[known]]
@@ -128,26 +161,107 @@ class LanguageModel:
         return s
 
 
-def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float = SWITCH) -> np.ndarray:
+def _blocks(n: int) -> np.ndarray:
+    """Where blocks of about the square root of n words begin."""
+    return np.arange(0, n, max(1, math.isqrt(n)))
+
+
+def transfer(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
+    """(k, k) max-plus matrix of some words: the best score of a path over them that is entered from language i and ends in language j,
+    where a change at the entry costs, too.  All blocks of words advance together from every language, then their matrices are multiplied."""
+    n, k = scores.shape
+    begin = _blocks(n)
+    size = np.diff(np.append(begin, n))
+    best = np.where(np.eye(k, dtype=bool), 0.0, -penalty)[None].repeat(len(begin), axis=0) + scores[begin][:, None, :]
+    for t in range(1, int(size.max(initial=0))):
+        m = size > t  # all but the last block, or all
+        own = best[m]
+        best[m] = np.maximum(own, own.max(axis=2, keepdims=True) - penalty) + scores[begin[m] + t][:, None, :]
+    return functools.reduce(times, best)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The max-plus product, which is associative."""
+    return (a[:, :, None] + b[None]).max(axis=1)
+
+
+def between(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(entry, exit) language of each part on a best path through all of them; the first part is entered for nothing."""
+    ahead = [np.zeros(len(matrices[0]))]  # of each language: the best score of what follows
+    for m in reversed(matrices[1:]):
+        ahead.append((m + ahead[-1]).max(axis=1))
+        ahead[-1] -= ahead[-1].max()
+    ahead.reverse()
+    out = []
+    state = -1
+    for m, rest in zip(matrices, ahead, strict=True):
+        value = (m.max(axis=0) if state < 0 else m[state]) + rest
+        before, state = state, int(value.argmax())
+        out.append((before, state))
+    return out
+
+
+def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float = SWITCH, ends: tuple[int, int] | None = None) -> np.ndarray:
     """The best language of each word, where each change between neighbours in a text costs `penalty`.
 
-    All texts advance together, longest first, so a step costs one vector operation for the texts still running.
+    All texts advance together, longest first, so a step costs one vector operation for the texts still running; a text much longer
+    than the others is cut into blocks, which advance together once their ends are known.  ends: (entry, exit) languages of a single text
+    that is entered from the first (-1: for nothing) and ends in the second.
     """
     n, k = scores.shape
     out = np.zeros(n, np.int64)
     if n == 0 or k == 1:
         return out
     size = np.bincount(text, minlength=n_texts)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    if size.max() > 4096:
+        begin = np.cumsum(size) - size
+        for t in np.flatnonzero(size > 4096).tolist():
+            own = scores[begin[t] : begin[t] + size[t]]
+            cut = np.append(_blocks(len(own)), len(own))
+            parts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            first, matrices = (ends or (-1, -1)), [transfer(own[a:b], penalty) for a, b in parts]
+            if first[0] >= 0:
+                matrices[0] = matrices[0][first[0]][None].repeat(k, axis=0)
+            else:
+                matrices[0] = (matrices[0].max(axis=0))[None].repeat(k, axis=0)
+            if first[1] >= 0:
+                matrices[-1] = np.where(np.arange(k) == first[1], matrices[-1], -np.inf)
+            known = between(matrices)
+            known[0] = (first[0], known[0][1])
+            out[begin[t] : begin[t] + size[t]] = _trace(own, np.repeat(np.arange(len(parts)), np.diff(cut)), len(parts), penalty, known)
+        rest = (size <= 4096)[text]
+        if rest.any():
+            keep = np.flatnonzero(size <= 4096)
+            number = np.cumsum(size <= 4096) - 1
+            out[rest] = _trace(scores[rest], number[text[rest]], len(keep), penalty, None)
+        return out
+    return _trace(scores, text, n_texts, penalty, [ends] if ends else None)
+
+
+def _trace(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float, ends: list[tuple[int, int]] | None) -> np.ndarray:
+    """Viterbi of texts that advance together; ends: entry and exit language of each."""
+    n, k = scores.shape
+    out = np.zeros(n, np.int64)
+    size = np.bincount(text, minlength=n_texts)
+    begin = np.cumsum(size) - size
     order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
     size, begin = size[order], begin[order]
+    entry, leave = (np.array(ends)[order].T if ends else np.full((2, len(order)), -1))
     active = np.searchsorted(-size, -np.arange(size[0] + 1), "left")  # texts longer than t
-    came = np.zeros(n, np.int8 if k < 127 else np.int32)  # -1: stayed; else the language before a switch
+    came = np.zeros(n, np.int8 if k < 127 else np.int32)  # the language before a switch
     switched = np.zeros((n, k), bool)
-    best = scores[begin[: active[0]]]
+    best = scores[begin].copy()
+    best -= np.where((entry[:, None] >= 0) & (entry[:, None] != np.arange(k)), penalty, 0.0)
+
+    def end(value: np.ndarray, i: slice) -> np.ndarray:
+        return np.where(leave[i] >= 0, leave[i], value.argmax(axis=1))
+
+    short = active[1]
+    out[begin[short:]] = end(best[short:], slice(short, None))
     for t in range(1, size[0]):
         m = active[t]
-        best = best[:m] if m < len(best) else best
+        best = best[:m]
         top = best.argmax(axis=1)
         high = best[np.arange(m), top] - penalty
         at = begin[:m] + t
@@ -157,9 +271,7 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float =
         best -= best.max(axis=1, keepdims=True)
         ending = active[t + 1]  # the texts that go on
         if ending < m:
-            out[at[ending:]] = best[ending:].argmax(axis=1)
-    short = size == 1
-    out[begin[short]] = scores[begin[short]].argmax(axis=1)
+            out[at[ending:]] = end(best[ending:], slice(ending, m))
     for t in range(size[0] - 1, 0, -1):
         at = begin[: active[t]] + t
         now = out[at]
@@ -181,7 +293,18 @@ def groups(texts: list[str], most: int = GROUP) -> Iterator[list[int]]:
         yield held
 
 
-def spans(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, int, int, int]]]:
+Span = tuple[str, int, int, int]
+
+
+def _runs(lang: np.ndarray, words: Words) -> list[tuple[int, int, int, int, int]]:
+    """(text, language, first word of the text's, words, letters) of each run of equal languages."""
+    cut = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (words.text[1:] != words.text[:-1])]))
+    letters = np.add.reduceat(words.letters, cut)
+    begin = np.searchsorted(words.text, words.text[cut])
+    return list(zip(words.text[cut].tolist(), lang[cut].tolist(), (cut - begin).tolist(), np.diff(np.append(cut, len(lang))).tolist(), letters.tolist(), strict=True))
+
+
+def spans(model: LanguageModel, texts: list[str]) -> list[list[Span]]:
     """For each text its spans (language, first word, words, letters); none for a text without a letter."""
     if not model.langs:
         return [[] for _ in texts]
@@ -189,28 +312,49 @@ def spans(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, int, i
     if len(words.start) == 0:
         return [[] for _ in texts]
     lang = viterbi(model.word_scores(words), words.text, len(texts))
-    cut = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (words.text[1:] != words.text[:-1])]))
-    letters = np.add.reduceat(words.letters, cut)
-    ends = np.append(cut[1:], len(lang))
-    found: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]
-    begin = np.searchsorted(words.text, np.arange(len(texts)))
-    for a, b, n in zip(cut.tolist(), ends.tolist(), letters.tolist(), strict=True):
-        t = int(words.text[a])
-        found[t].append((model.langs[lang[a]], a - int(begin[t]), b - a, n))
+    found: list[list[Span]] = [[] for _ in texts]
+    for t, of, first, n, letters in _runs(lang, words):
+        found[t].append((model.langs[of], first, n, letters))
     return [s if any(x[3] for x in s) else [] for s in found]
 
 
+def long_spans(model: LanguageModel, text: str, most: int = GROUP) -> list[Span]:
+    """spans() of one text, part by part: scores are made twice and never held for more than a part."""
+    if not model.langs:
+        return []
+    matrices = []
+    for part in parts_of(text, most):
+        words = words_of([part])
+        matrices.append(transfer(model.word_scores(words)) if len(words.start) else None)
+    known = iter(between([m for m in matrices if m is not None])) if any(m is not None for m in matrices) else iter(())
+    found: list[list] = []
+    at = 0
+    for part, matrix in zip(parts_of(text, most), matrices, strict=True):
+        if matrix is None:
+            continue
+        words = words_of([part])
+        for _, of, first, n, letters in _runs(viterbi(model.word_scores(words), words.text, 1, ends=next(known)), words):
+            if found and found[-1][0] == of:
+                found[-1][2] += n
+                found[-1][3] += letters
+            else:
+                found.append([of, at + first, n, letters])
+        at += len(words.start)
+    return [(model.langs[of], first, n, letters) for of, first, n, letters in found] if any(x[3] for x in found) else []
+
+
 def fit(docs: DataFrame, docs_per_lang: int = 1000, key: str = "doc_id") -> LanguageModel:
     """Learns from at most `docs_per_lang` whole documents of each non-null lang of docs (key, text, lang).
 
-    n-grams are counted in tasks and summed in Spark; the driver gathers at most LONGEST * 2**BITS counts a language.
+    n-grams are counted in tasks and summed in Spark, which packs each language's counts into one row (under 2 MB); the driver reads one row at a
+    time into the model, whose table takes 1 MB a language.
     """
     sample = bounded_sample(docs.where("text is not null and lang is not null").select(key, "text", "lang"), "lang", docs_per_lang, key)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for lang, own in part.groupby("lang"):
-                texts = own["text"].tolist()
+                texts = [x for t in own["text"] for x in parts_of(t)]
                 for some in groups(texts):
                     words = words_of([texts[i] for i in some])
                     rows = [pd.DataFrame({"lang": [], "kind": [], "h": [], "c": []})]
@@ -222,19 +366,21 @@ def fit(docs: DataFrame, docs_per_lang: int = 1000, key: str = "doc_id") -> Lang
                             rows.append(pd.DataFrame({"lang": lang, "kind": kind, "h": h.astype(np.int64), "c": c}))
                     yield pd.concat(rows[1:] or rows)
 
-    sums = sample.mapInPandas(counted, "lang string, kind int, h long, c long").groupBy("lang", "kind", "h").agg(F.sum("c").alias("c")).toPandas()
-    langs = tuple(sorted(sums["lang"].unique()))
+    sums = sample.mapInPandas(counted, "lang string, kind int, h long, c long").groupBy("lang", "kind", "h").agg(F.sum("c").alias("c"))
+    packed = staged(sums.groupBy("lang").agg(F.collect_list(F.struct("kind", F.col("h").cast("int").alias("h"), "c")).alias("counts")), "language")
+    langs = tuple(sorted(r["lang"] for r in packed.select("lang").collect()))
     table = np.zeros((LONGEST, 1 << BITS, len(langs)), np.float32)
     allowed = np.zeros((len(SCRIPTS), len(langs)), bool)
-    for (lang, kind), own in sums.groupby(["lang", "kind"]):
-        at = langs.index(lang)
-        if kind == 0:
-            share = own["c"] / own["c"].sum()
-            allowed[own["h"][share >= SCRIPT_SHARE], at] = True
-            continue
-        counts = np.full(1 << BITS, 0.5)
-        counts[own["h"].to_numpy()] += own["c"].to_numpy()
-        table[kind - 1, :, at] = np.log(counts / counts.sum())
+    for row in packed.toLocalIterator():
+        at = langs.index(row["lang"])
+        kind, h, c = np.array(row["counts"], np.int64).reshape(-1, 3).T
+        letters = c * (kind == 0)
+        allowed[h[(kind == 0) & (letters >= SCRIPT_SHARE * letters.sum())], at] = True
+        for n in range(1, LONGEST + 1):
+            own = kind == n
+            counts = np.full(1 << BITS, 0.5)
+            counts[h[own]] += c[own]
+            table[n - 1, :, at] = np.log(counts / counts.sum())
     table -= table.mean(axis=2, keepdims=True) if langs else 0
     return LanguageModel(langs, table * np.float32(1 / LONGEST), allowed)
 
@@ -261,18 +407,19 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
             out: list = [None] * len(texts)
+            giant = [i for i, t in enumerate(texts) if len(t) > GROUP]
+            for i in giant:
+                out[i] = label(long_spans(sent.value, texts[i]))
+                texts[i] = ""
             for some in groups(texts):
+                some = [i for i in some if out[i] is None]
                 for i, s in zip(some, spans(sent.value, [texts[i] for i in some]), strict=True):
                     out[i] = label(s)
             yield pd.DataFrame(out, columns=["lang", "score", "spans"])
 
-    found = docs.withColumn("_found", labels.asNondeterministic()(F.col(text)))
-    return (
-        found.withColumn("lang_pred", F.col("_found.lang"))
-        .withColumn("lang_score", F.col("_found.score"))
-        .withColumn("lang_spans", F.col("_found.spans"))
-        .drop("_found")
-    )
+    own = docs.drop("lang_pred", "lang_score", "lang_spans")
+    found = own.select(F.struct(*own.columns).alias("row"), labels.asNondeterministic()(docs[text]).alias("found"))
+    return found.select("row.*", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("lang_score"), F.col("found.spans").alias("lang_spans"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

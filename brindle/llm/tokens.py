@@ -1,8 +1,9 @@
 """Operator 4: token ids in binary files, compressed by Re-Pair grammars.
 
 Documents are range-partitioned and sorted by id, encoded, and packed into shards of consecutive documents.  In each shard the
-frequent pairs of neighbouring symbols are replaced by nonterminals, round after round; no pair spans two documents.  A shard is
-a row of a Parquet file (so that Spark writes, commits and retries it on any file system) with these binary sections, all little-endian:
+frequent pairs of neighbouring symbols are replaced by nonterminals, round after round until no pair occurs LEAST times; no pair spans two
+documents.  A shard is a row of a Parquet file (so that Spark writes, commits and retries it on any file system) with its first and last
+document id, which let a reader skip files, and these binary sections, all little-endian:
 
     doc_id int64, n_tokens int64 and n_symbols int64 of each document; rounds int64: rules after each round;
     left and right uint32: the two symbols of each rule (rule r is symbol first_rule + r); expansion uint32: ids that it stands for;
@@ -11,12 +12,14 @@ a row of a Parquet file (so that Spark writes, commits and retries it on any fil
 A document is decoded alone: its place in the sequence is a sum of n_symbols, and rules hold what they expand to.
 
 Defined results: a null text is empty; each document ends with the end id; null ids are written first, as the smallest int64, and read back as null; rows
-with equal ids are ordered by text and written each; an empty table gives no shards; other columns are not read.
+with equal ids are ordered by their texts' hash and then text, written each, and spread over tasks if they are many; a document longer than a shard is a shard of its own;
+an empty table gives no shards; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,12 +34,12 @@ from .common import shared_folder, single_threaded, staged
 
 END = 2
 NULL_ID = -(1 << 63)
-#: Tokens that a shard is closed after; rounds of replacement; least count of a pair; most rules of a round.
-SHARD_TOKENS, ROUNDS, LEAST, RULES = 1 << 19, 3, 8, 8192
-#: Counters of a round, and multipliers of their hashes.
-SLOTS, ODD = 1 << 18, np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Tokens that a shard is closed after; least count of a pair that is replaced; pairs that are replaced in one round.
+SHARD_TOKENS, LEAST, RULES = 1 << 19, 8, 8192
+#: Counters of a round, and the multiplier of their hash.
+SLOTS, ODD = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = (
-    "part int, shard int, first_rule long, tokens long, doc_id binary, n_tokens binary, n_symbols binary, rounds binary, "
+    "part int, shard int, first_id long, last_id long, first_rule long, tokens long, doc_id binary, n_tokens binary, n_symbols binary, rounds binary, "
     "left binary, right binary, expansion binary, sequence binary"
 )
 
@@ -75,7 +78,7 @@ class Encoder:
 
     The pre-tokenizer never joins text across a space that stands between two other characters, so a text is the
     concatenation of its space-led units; each distinct unit goes to the library once and its ids are kept under a 64-bit hash, up to
-    a bounded number of units.  Texts with adjacent white space go to the library whole.
+    a bounded number of units.  Texts with adjacent white space, or with one of the library's added tokens, go to it whole.
     """
 
     #: White space that does not stand between two other characters.
@@ -86,7 +89,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.added = "|".join(sorted(added, key=len, reverse=True))
         names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.width = np.array([len(names.get(i, "")) for i in range(max(names) + 1)], np.int64)  # byte-level: a character a byte
         self._clear(units)
@@ -96,6 +100,9 @@ class Encoder:
         self.known = np.zeros(0, np.uint64)  # ascending
         self.start, self.count, self.ids = np.zeros(0, np.int32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
 
+    #: Pattern of the tokens that the library finds before it splits a text, none for "".
+    added = ""
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -146,6 +153,8 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary
         hashes = unit_hashes(words)
+        if self.added:
+            hashes[pc.match_substring_regex(words, self.added).to_numpy(zero_copy_only=False)] = 0
         blank = pc.utf8_is_space(words).to_numpy(zero_copy_only=False)
         found = self._find(hashes)
         fresh = np.flatnonzero((found < 0) & (hashes != 0) & ~blank)
@@ -167,7 +176,8 @@ class Encoder:
         strings = texts.to_pylist()
         # texts with other units than kept ones (long words), or with spaces that do not stand between two characters
         other = np.logical_or.reduceat(unknown, first)
-        odd = np.flatnonzero(other | pc.match_substring_regex(texts, self.ADJACENT).to_numpy(zero_copy_only=False)).tolist()
+        pattern = f"{self.ADJACENT}|{self.added}" if self.added else self.ADJACENT
+        odd = np.flatnonzero(other | pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)).tolist()
         out = [np.concatenate([h, p]) for h, p in zip(self.heads([t.partition(" ")[0] for t in strings]), np.split(flat, ends[:-1]), strict=True)]
         for i, ids in zip(odd, self.whole([strings[i] for i in odd]), strict=True):
             out[i] = ids
@@ -184,10 +194,12 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def repair(ids: np.ndarray, sizes: np.ndarray, first_rule: int, rounds: int = ROUNDS, least: int = LEAST, most: int = RULES) -> dict:
+def repair(ids: np.ndarray, sizes: np.ndarray, first_rule: int, least: int = LEAST, most: int = RULES) -> dict:
     """Grammar of the documents whose ids are concatenated (sizes: ids of each).
 
-    A round counts neighbouring pairs (in hashed counters, then exactly where a counter is high), gives the most frequent ones nonterminals and replaces their occurrences left to right; of overlapping occurrences every second one waits for a later round.
+    A round counts neighbouring pairs (in hashed counters, then exactly where a counter is high), gives the `most` most frequent ones nonterminals
+    and replaces their occurrences left to right; of overlapping occurrences every second one waits for a later round.  Rounds go on until no
+    pair occurs `least` times in places that do not overlap.
     """
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
@@ -196,30 +208,31 @@ def repair(ids: np.ndarray, sizes: np.ndarray, first_rule: int, rounds: int = RO
     expansion = [np.zeros(0, np.int64)]
     symbol = first_rule
     length = lambda s, known: np.where(s < first_rule, 1, known[np.maximum(s - first_rule, 0)]) if len(known) else np.ones(len(s), np.int64)
-    for round_ in range(rounds):
+    while len(seq) > 1:
         code = (seq[:-1] << 32) | seq[1:]
-        hashed = ((code.view(np.uint64) * ODD[round_ % len(ODD)]) >> np.uint64(65 - SLOTS.bit_length())).view(np.int64)  # as counting and indexing take it
+        hashed = ((code.view(np.uint64) * ODD) >> np.uint64(65 - SLOTS.bit_length())).view(np.int64)  # as counting and indexing take it
         may = np.flatnonzero((np.bincount(hashed, minlength=SLOTS) >= least)[hashed] & ~last[:-1])
-        code, hashed = code[may], hashed[may]
-        pair_of = np.zeros(SLOTS, np.int64)
-        pair_of[hashed] = code  # of pairs that share a counter one is counted, the others wait for a round with another hash
-        counted = pair_of[hashed] == code
-        may, hashed = may[counted], hashed[counted]
-        counts = np.bincount(hashed, minlength=SLOTS)
-        slots = np.flatnonzero(counts >= least)
-        slots = slots[np.argsort(-counts[slots], kind="stable")[:most]]
-        if not len(slots):
-            break
-        pairs = pair_of[slots]
-        rule_of = np.full(SLOTS, -1, np.int32)
-        rule_of[slots] = np.arange(len(slots))
-        rule = rule_of[hashed]
+        found, place, counts = np.unique(code[may], return_inverse=True, return_counts=True)
+        frequent = np.flatnonzero(counts >= least)
+        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:most]]
+        rule_of = np.full(len(found) + 1, -1, np.int64)
+        rule_of[frequent] = np.arange(len(frequent))
+        rule = rule_of[place]
         hit = rule >= 0
         at, rule = may[hit], rule[hit]
-        fresh = np.concatenate([[True], np.diff(at) != 1])
+        fresh = np.concatenate([[True], np.diff(at) != 1])[: len(at)]
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - begin) % 2 == 0
         at, rule = at[take], rule[take]
+        used, rule, times = np.unique(rule, return_inverse=True, return_counts=True)  # pairs that are left after overlaps
+        enough = times >= min(least, int(times.max(initial=0)))
+        enough &= times > 1
+        if not enough.any():
+            break
+        number = np.cumsum(enough) - 1
+        stays = enough[rule]
+        at, rule = at[stays], number[rule[stays]]
+        pairs = found[frequent[used[enough]]]
         seq[at] = symbol + rule
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
@@ -283,7 +296,7 @@ class Shard:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END) -> None:
     """Writes docs (integer key, text) as shards under `path`, in ascending order of the key."""
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = encoder_of(tokenizer)
@@ -295,10 +308,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
 
         def close() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in ids], np.int64)
-            row = {"part": part, "shard": n, "doc_id": np.array(keys, "<i8").tobytes(), **repair(np.concatenate(ids), sizes, first_rule)}
+            row = {"part": part, "shard": n, "first_id": keys[0], "last_id": keys[-1], "doc_id": np.array(keys, "<i8").tobytes(), **repair(np.concatenate(ids), sizes, first_rule)}
             keys.clear()
             ids.clear()
-            kinds = {"part": pa.int32(), "shard": pa.int32(), "first_rule": pa.int64(), "tokens": pa.int64()}
+            kinds = {"part": pa.int32(), "shard": pa.int32(), "first_id": pa.int64(), "last_id": pa.int64(), "first_rule": pa.int64(), "tokens": pa.int64()}
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([row[c]], kinds.get(c, pa.binary())) for c in names], names)
 
@@ -318,14 +331,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
             yield close()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(shards, SCHEMA).write.parquet(path)
+    rows = rows.withColumn("h", F.xxhash64("text"))  # ranges may end inside an id that many rows have
+    rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").drop("h").mapInArrow(encoded, SCHEMA).write.parquet(path)
 
 
 def _shards(spark, path: str, of, schema: str) -> DataFrame:
     """Applies `of` (shard, ids before it, ids of its documents) -> arrays to every shard under path, one at a time."""
     files = spark.read.schema(SCHEMA).parquet(path)
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("part", "shard", "tokens").select("part", "shard", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
+    sizes = files.select("part", "shard", "tokens")
+    # ids before a task's shards: one row a task; then before a shard among its task's
+    parts = sizes.groupBy("part").agg(F.sum("tokens").alias("n"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("part", F.coalesce(F.sum("n").over(upto(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("tokens").over(upto(Window.partitionBy("part").orderBy("shard"))), F.lit(0))
+    base = sizes.withColumn("own", own).join(before, "part").select("part", "shard", (F.col("before") + F.col("own")).alias("base"))
     base = staged(base, "tokens")  # three numbers a shard: small files, which Spark broadcasts, so that the shards stay where they are
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,6 +364,23 @@ def read_token_files(spark, path: str) -> DataFrame:
     return _shards(spark, path, lambda docs: [pa.array([x.astype("<u4", copy=False).tobytes() for x in docs], pa.binary())], "doc_id long, start long, ids binary")
 
 
+def read_document(spark, path: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of the documents of one id: files and row groups without it are skipped, and of a shard only its own symbols are expanded."""
+    key = NULL_ID if doc_id is None else doc_id
+    files = spark.read.schema(SCHEMA).parquet(path).where((F.col("first_id") <= key) & (F.col("last_id") >= key))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Shard(row)
+                found = [shard.document(i).astype("<u4").tobytes() for i in np.flatnonzero(shard.doc_id == key)]
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(found, pa.binary())], ["part", "shard", "i", "ids"])
+
+    rows = files.mapInArrow(each, "part int, shard int, i int, ids binary").orderBy("part", "shard", "i").collect()
+    return [np.frombuffer(r.ids, "<u4") for r in rows]
+
+
 def token_digests(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, the checksum over its ids as read_token_files gives them."""
 
