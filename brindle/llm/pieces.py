@@ -6,8 +6,10 @@ there is one path of weight 0.
 
 Ordinary texts go through the sentencepiece library, one distinct space-led unit at a time.  Giant texts are cut into chunks anywhere.
 A boundary state is the piece that reaches or crosses the boundary, and how far it reaches beyond.  Each chunk yields, in a task of its own,
-the max-plus transfer matrix from its entry states to its exit states; the matrices are combined associatively along each document, which
-fixes every boundary's state; each chunk is then traced back on its own between its two states, and the parts are joined in order.
+the max-plus transfer matrix from its entry states to its exit states.  Products of FAN neighbouring matrices are taken in tasks, then products
+of those, up to one matrix a document (the product is associative); downwards, each product's two states fix those of its factors, until every
+boundary's state is known.  Each chunk is then traced back on its own between its two states, and the parts are joined in order.  A task holds FAN
+matrices of some ten states each, whatever a document's length.
 
 Where a run of spaces begins, no piece crosses: inside a chunk such resets separate the few characters that depend on the entry or exit
 state from the rest, which the library encodes.  A chunk without a reset (one giant word) takes the full matrix.
@@ -15,8 +17,8 @@ state from the rest, which the library encodes.  A chunk without a reset (one gi
 Decoding joins the pieces' bytes, so it inverts encoding for every text without U+2581 (which the model cannot tell from a space) and
 without unpaired surrogates.
 
-Defined results: a null text is empty; an empty text has no pieces; repeated rows are encoded each; other columns pass through, and columns
-named `pieces` are replaced; an empty table gives an empty table.
+Defined results: a null text is empty; an empty text has no pieces; repeated rows are encoded each; other columns pass through whatever their
+names, and a column named `pieces` is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from .tokens import Encoder
 SPACE = "▁"
 #: Characters from which a text is giant, and characters of a chunk.
 GIANT, CHUNK = 65_536, 16_384
+#: Matrices that one product takes.
+FAN = 16
 
 #: Characters that the piece reaches beyond the boundary, and the piece ("" at the ends of the text and at a reset).
 State = tuple[int, str]
@@ -220,17 +224,25 @@ class Chunk:
         return left + m.plain(t[a:b]) + (back(b, "", end, last) if b < end else [])
 
 
-def scan(matrices: list[dict[State, set[State]]]) -> list[tuple[State, State]]:
-    """(entry, exit) of each chunk on the one path of weight 0 through all transfer matrices.
+Matrix = dict[State, set[State]]
 
-    The max-plus product is associative: it is taken from the end, where it is a vector (the states that the rest of the text
-    has a path from), and then the states follow from the start.
+
+def times(a: Matrix, b: Matrix) -> Matrix:
+    """The max-plus product of two transfer matrices: associative, as products of matrices are."""
+    rows = {i: set().union(*(b.get(j, ()) for j in js)) for i, js in a.items()}
+    return {i: js for i, js in rows.items() if js}
+
+
+def scan(matrices: list[Matrix], entry: State = (0, ""), leave: State = (0, "")) -> list[tuple[State, State]]:
+    """(entry, exit) of each factor on the path of weight 0 from `entry` to `leave` through all of them.
+
+    There is one such path, as a text has one encoding; a reset state is shared by all paths through it.
     """
-    alive: list[set[State]] = [{(0, "")}]
+    alive: list[set[State]] = [{leave}]
     for m in reversed(matrices):
         alive.append({i for i, js in m.items() if js & alive[-1]})
     alive.reverse()
-    state: State = (0, "")
+    state = entry
     out = []
     for m, rest in zip(matrices, alive[1:], strict=True):
         before, state = state, min(m[state] & rest)
@@ -238,8 +250,49 @@ def scan(matrices: list[dict[State, set[State]]]) -> list[tuple[State, State]]:
     return out
 
 
-def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFrame:
-    """(_row, pieces) of staged giant texts."""
+ENTRIES = "_row long, k long, i long, before string, j long, after string"
+
+
+def _matrices(own: pd.DataFrame) -> list[Matrix]:
+    """The matrices of some consecutive numbers k, in order."""
+    found: dict[int, Matrix] = {}
+    for k, *x in zip(*(own[c] for c in ("k", "i", "before", "j", "after")), strict=True):
+        found.setdefault(k, {}).setdefault((x[0], x[1]), set()).add((x[2], x[3]))
+    return [found[k] for k in sorted(found)]
+
+
+def _entries(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["_row", "k", "i", "before", "j", "after"])
+
+
+def boundary_states(matrices: DataFrame, most: int, fan: int = FAN) -> DataFrame:
+    """(ENTRIES) with the one entry of each matrix that the path takes; matrices: all entries of each; most: the largest k + 1."""
+    of = F.floor(F.col("k") / fan)
+
+    def product(own: pd.DataFrame) -> pd.DataFrame:
+        row, up = own["_row"].iloc[0], int(own["k"].iloc[0]) // fan
+        return _entries([(row, up, *i, *j) for i, js in functools.reduce(times, _matrices(own)).items() for j in sorted(js)])
+
+    def solved(own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return _entries([])
+        x = above.iloc[0] if len(above) else None
+        ends = ((0, ""), (0, "")) if x is None else ((x["i"], x["before"]), (x["j"], x["after"]))
+        row, first = own["_row"].iloc[0], int(own["k"].min())
+        return _entries([(row, first + n, *i, *j) for n, (i, j) in enumerate(scan(_matrices(own), *ends))])
+
+    levels = [matrices]
+    while most > fan:
+        levels.append(staged(levels[-1].groupBy("_row", of.alias("up")).applyInPandas(product, ENTRIES), "pieces"))
+        most = -(-most // fan)
+    states = levels[-1].where(F.lit(False))  # above the top: from nothing to nothing
+    for level in reversed(levels):
+        states = level.groupBy("_row", of.alias("up")).cogroup(states.groupBy("_row", F.col("k").alias("up"))).applyInPandas(solved, ENTRIES)
+    return states
+
+
+def _giant_pieces(giants: DataFrame, path: str, chunk: int) -> DataFrame:
+    """(_row, pieces) of staged giant texts (_row, _text)."""
     longest = 64
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +307,7 @@ def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFr
                     }
                 )
 
-    chunks = giants.select("_row", F.col(text).alias("_text")).mapInPandas(cut, "_row long, k long, text string, start long, size long, final boolean")
+    chunks = giants.mapInPandas(cut, "_row long, k long, text string, start long, size long, final boolean")
     chunks = staged(chunks.repartition("_row", "k"), "pieces")
 
     def chunk_of(r, m: Model) -> Chunk:
@@ -265,15 +318,7 @@ def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFr
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for part in batches:
-            found = [[(r.of, r.k, *i, *j) for i, js in chunk_of(r, m).matrix().items() for j in sorted(js)] for r in part.rename(columns={"_row": "of"}).itertuples(name="R")]
-            yield pd.DataFrame([x for f in found for x in f], columns=["_row", "k", "i", "before", "j", "after"])
-
-    def solved(own: pd.DataFrame) -> pd.DataFrame:
-        matrices: list[dict] = [{} for _ in range(int(own["k"].max()) + 1)]
-        for r in own.itertuples():
-            matrices[r.k].setdefault((r.i, r.before), set()).add((r.j, r.after))
-        out = [(own["_row"].iloc[0], k, *i, *j) for k, (i, j) in enumerate(scan(matrices))]
-        return pd.DataFrame(out, columns=["_row", "k", "i", "before", "j", "after"])
+            yield _entries([(r.of, r.k, *i, *j) for r in part.rename(columns={"_row": "of"}).itertuples(name="R") for i, js in chunk_of(r, m).matrix().items() for j in sorted(js)])
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
@@ -282,8 +327,8 @@ def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFr
             ids = [chunk_of(r, m).trace((r.i, r.before), (r.j, r.after)) for r in part.itertuples(name="R")]
             yield pd.DataFrame({"_row": part["of"], "k": part["k"], "ids": ids})
 
-    entries = "_row long, k long, i long, before string, j long, after string"
-    states = chunks.mapInPandas(transfer, entries).groupBy("_row").applyInPandas(solved, entries)  # some entries a chunk
+    most = chunks.agg(F.max("k")).first()[0]
+    states = boundary_states(staged(chunks.mapInPandas(transfer, ENTRIES), "pieces"), 0 if most is None else most + 1)
     parts = chunks.join(states, ["_row", "k"]).mapInPandas(traced, "_row long, k long, ids array<int>")
     joined = F.sort_array(F.collect_list(F.struct("k", "ids")))  # a text's own ids, as its row holds them
     return parts.groupBy("_row").agg(F.flatten(F.transform(joined, lambda x: x["ids"])).alias("pieces"))
@@ -292,21 +337,24 @@ def _giant_pieces(giants: DataFrame, path: str, text: str, chunk: int) -> DataFr
 def encode(docs: DataFrame, path: str, text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """docs with `pieces` (array<int>), the ids of the sentencepiece model at `path`."""
 
-    docs = docs.drop("pieces")
-    long = F.coalesce(F.length(text) >= giant, F.lit(False))
-    giants = staged(docs.where(long).withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    found = giants.join(_giant_pieces(giants, path, text, chunk), "_row").drop("_row")
-    short = docs.where(~long)
+    own = docs.drop("pieces")
+    rows = own.select(F.struct(*own.columns).alias("row"))
+    place = [c.lower() for c in own.columns].index(text.lower())
+    string = F.col("row")[own.columns[place]]
+    long = F.coalesce(F.length(string) >= giant, F.lit(False))
+    giants = staged(rows.where(long).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    found = giants.join(_giant_pieces(giants.select("_row", string.alias("_text")), path, chunk), "_row").select("row", "pieces")
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for part in _slices(batches):
-            ids = encoder.encode(pc.fill_null(part.column(part.schema.get_field_index(text)), ""))
+            ids = encoder.encode(pc.fill_null(pc.struct_field(part.column(0), [place]), ""))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pieces], [*part.schema.names, "pieces"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pieces], ["row", "pieces"])
 
-    return short.mapInArrow(ordinary, T.StructType([*short.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])).unionByName(found)
+    of = T.StructType([rows.schema["row"], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    return rows.where(~long).mapInArrow(ordinary, of).unionByName(found).select("row.*", "pieces")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
