@@ -3,8 +3,8 @@
 Counts come from each whole text.  Of the texts that pass the base rules, four integer measures (per thousand words) go into
 mergeable quantile sketches for each language and source: integer histograms whose bins keep seven leading bits, so a
 sketch holds under 64 bins for each doubling, is wrong by under 1/64 of a value, and merges by adding counts.  A group's
-cutoffs are its quartiles widened by a multiple of their distance and a slack.  Groups of fewer than MIN_GROUP texts use the merged
-sketch of all.
+cutoffs are its quartiles widened by a multiple of their distance and a slack; its quartiles are drawn towards those of the merged sketch
+of all as if PRIOR texts of that sketch were among its own, so that a small group leans on all and a large one on itself, without a step between.
 
 Defined results: a null text has no words and is not kept; null languages and sources are groups of their own; with no text
 that passes the base rules nothing is kept; repeated rows are counted and judged each; an empty table gives an empty table;
@@ -20,8 +20,8 @@ from .common import WORD, staged
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Texts that a group needs for cutoffs of its own.
-MIN_GROUP = 50
+#: Texts that the merged sketch weighs beside a group's own.
+PRIOR = 50
 #: Quartile distances by which a cutoff lies beyond a quartile.
 WIDEN = 4
 #: measure -> slack added beyond that, per thousand words (the length measure is in thousandths of a character).
@@ -95,7 +95,7 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
 def _cutoffs(found: DataFrame, keys: list[str]) -> DataFrame:
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])[F.col("measure")]
     reach = WIDEN * (F.col("q3") - F.col("q1")) + slack
-    out = [F.max("total").alias("total")]
+    out = []
     for m in SLACK:
         out.append(F.max(F.when(F.col("measure") == m, F.col("q3") + reach)).alias(f"{m}_most"))
     out.append(F.max(F.when(F.col("measure") == "length", F.col("q1") - reach)).alias("length_least"))
@@ -103,28 +103,30 @@ def _cutoffs(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judge(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """counted (text_counts and the group columns, without the texts) with base_failed and kept.
+    """counted (text_counts and the group columns, without the texts) with base_failed and kept; columns of these names are replaced.
 
     The counts are staged first: they are read twice, and Spark would push the filters on them into the array functions.
 
     The cutoffs join on language and source; their table has a row for each group, and Spark broadcasts it only if its measured
     size is under the session's threshold, else both sides are shuffled and a hot group is split by AQE.
     """
+    own = counted.drop("base_failed", "kept")
+    of = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rows = staged(own.select(F.struct(*own.columns).alias("row"), *[own[c].alias(c) for c in of], own[lang].alias("lang"), own[source].alias("source")), "rules")
+    rows = rows.withColumn("base_failed", base_failed())
     m = _measures()
-    rows = staged(counted, "rules").withColumn("base_failed", base_failed())
-    good = rows.where(~F.col("base_failed")).select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), *[v.alias(k) for k, v in m.items()])
-    groups = sketch(good, ["_lang", "_source"], {k: F.col(k) for k in m})
-    own = _cutoffs(quartiles(groups, ["_lang", "_source"]), ["_lang", "_source"]).where(F.col("total") >= MIN_GROUP).drop("total")
-    merged = groups.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    every = _cutoffs(quartiles(merged, []), []).drop("total")
-    every = every.select(*[F.col(c).alias(f"all_{c}") for c in every.columns])
-    joined = rows.join(own, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left").join(
-        F.broadcast(every)  # one row
-    )
-    most = lambda k: m[k] <= F.coalesce(F.col(f"{k}_most"), F.col(f"all_{k}_most"))
-    good_len = m["length"] >= F.coalesce(F.col("length_least"), F.col("all_length_least"))
-    kept = ~F.col("base_failed") & most("symbols") & most("length") & most("dup_lines") & most("repeats") & good_len
-    return joined.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*rows.columns, "kept")
+    keys = ["lang", "source"]
+    groups = sketch(rows.where(~F.col("base_failed")).select(*keys, *[v.alias(k) for k, v in m.items()]), keys, {k: F.col(k) for k in m})
+    every = quartiles(groups.groupBy("measure", "bin").agg(F.sum("n").alias("n")), [])
+    every = every.select(F.col("measure").alias("of"), F.col("q1").alias("all1"), F.col("q3").alias("all3"))  # a row a measure
+    drawn = lambda q, a: F.expr(f"(total * {q} + {PRIOR} * {a}) div (total + {PRIOR})")
+    near = quartiles(groups, keys).join(every, F.col("measure") == F.col("of")).select(*keys, "measure", drawn("q1", "all1").alias("q1"), drawn("q3", "all3").alias("q3"))
+    cut = _cutoffs(near, keys).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    joined = rows.join(cut, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    kept = ~F.col("base_failed") & (m["length"] >= F.col("length_least"))
+    for k in m:
+        kept = kept & (m[k] <= F.col(f"{k}_most"))
+    return joined.select("row.*", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -157,13 +159,14 @@ b AS (SELECT false AS every, lang, source, measure, (v >> k) << k AS bin, count(
 q AS (SELECT every, lang, source, measure, max(total) AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3
       FROM (SELECT *, sum(n) OVER (PARTITION BY every, lang, source, measure) AS total,
                 sum(n) OVER (PARTITION BY every, lang, source, measure ORDER BY bin) AS upto FROM b) GROUP BY ALL),
-s AS (SELECT *, {WIDEN} * (q3 - q1) + CASE measure {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items())} END AS reach FROM q),
-t AS (SELECT every, lang, source, max(total) AS total, max(q3 + reach) FILTER (measure = 'symbols') AS t_symbols, max(q3 + reach) FILTER (measure = 'length') AS t_length,
+z AS (SELECT o.lang, o.source, o.measure, (o.total::BIGINT * o.q1 + {PRIOR} * e.q1) // (o.total::BIGINT + {PRIOR}) AS q1,
+        (o.total::BIGINT * o.q3 + {PRIOR} * e.q3) // (o.total::BIGINT + {PRIOR}) AS q3
+      FROM (SELECT * FROM q WHERE NOT every) o JOIN (SELECT * FROM q WHERE every) e ON o.measure = e.measure),
+s AS (SELECT *, {WIDEN} * (q3 - q1) + CASE measure {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items())} END AS reach FROM z),
+t AS (SELECT lang, source, max(q3 + reach) FILTER (measure = 'symbols') AS t_symbols, max(q3 + reach) FILTER (measure = 'length') AS t_length,
         max(q3 + reach) FILTER (measure = 'dup_lines') AS t_dup, max(q3 + reach) FILTER (measure = 'repeats') AS t_rep,
         max(q1 - reach) FILTER (measure = 'length') AS t_least FROM s GROUP BY ALL)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    coalesce(NOT base_failed AND symbols <= coalesce(o.t_symbols, e.t_symbols) AND length <= coalesce(o.t_length, e.t_length)
-        AND dup_lines <= coalesce(o.t_dup, e.t_dup) AND repeats <= coalesce(o.t_rep, e.t_rep) AND length >= coalesce(o.t_least, e.t_least), false) AS kept
-FROM m LEFT JOIN (SELECT * FROM t WHERE NOT every AND total >= {MIN_GROUP}) o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source
-LEFT JOIN (SELECT * FROM t WHERE every) e ON true
+    coalesce(NOT base_failed AND symbols <= t_symbols AND length <= t_length AND dup_lines <= t_dup AND repeats <= t_rep AND length >= t_least, false) AS kept
+FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
 """
