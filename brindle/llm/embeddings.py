@@ -1,11 +1,15 @@
-"""Operator 9: embedding near-dedup by cover trees and dual traversal.
+"""Operator 9: embedding near-dedup by a distributed cover tree and dual traversal.
 
 Vectors are scaled to unit length, so that cosine >= c is a distance of at most r = sqrt(2 - 2c).  Equal vectors of a label are one
-class with a weight.  In Spark the classes of a label are dealt to cells around drawn centres, each cell with its covering radius; pairs of
-cells whose centres are further apart than both radii and r cannot hold a link and are dropped; the others meet in one task each, every
-cell at a bounded number of classes.  There each side gets a cover tree, nested levels with halving radii, and a dual traversal drops node pairs by
-their covering radii, takes node pairs that lie within r altogether without visiting their members, and verifies the rest by the exact cosine.
-A task returns, for each class that has a link, its number of linked vectors and one member of its component, never pairs.
+class with a weight.
+
+The upper levels of a label's tree are made by Spark, level by level: a node of more than PART classes gets child centres (its classes of
+lowest hash, as many as it has parts, FAN at most), its classes go to the nearest one, and each class also visits every other child that could hold a
+vector within r of it.  Those are the children whose side of no bisector is further than r away, and whose covering radius plus r reaches the class.
+Both bounds are exact, so no link is lost; routing is a join on node ids, whose large nodes are dealt to tasks in salted parts.
+In a leaf its own classes meet each other and the visitors.  There each side gets a cover tree, nested levels with halving radii, and a dual
+traversal drops node pairs by their covering radii, takes node pairs that lie within r altogether without visiting their members, and verifies
+the rest by the exact cosine.  A class counts its links in its own leaf alone; a task returns counts and one member of each component, never pairs.
 
 Defined results: rows with a null label and vectors that are null, zero, or hold a null or non-finite component link with nothing; equal
 vectors link with each other; vectors of other lengths never link; repeated rows (equal ids) are vectors each; a null id never names a component
@@ -19,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, staged
 
-#: Classes of a part; most centres of a label and in all (so that what the driver holds of them is bounded); members of a leaf.
-PART, CENTRES, ALL_CENTRES, LEAF = 1024, 64, 20_000, 16
+#: Classes of a leaf of the distributed tree; children of a node; levels, after which large leaves are cut by hash; classes that visit a task; members of a leaf in a task.
+PART, FAN, LEVELS, VISITORS, LEAF = 1024, 64, 12, 8192, 16
 #: Slack of bounds against rounding.
 EPS = 1e-7
 
@@ -70,11 +74,12 @@ class CoverTree:
 
     def _covered(self, members: np.ndarray, cover: float) -> Iterator[tuple[int, np.ndarray]]:
         points, left = self.x[members], np.arange(len(members))
+        near = 2 - 2 * points @ points.T <= cover * cover  # a tree has PART members at most
+        np.fill_diagonal(near, True)
         while len(left):
-            near = 2 - 2 * (points[left] @ points[left[0]]) <= cover * cover
-            near[0] = True
-            yield int(members[left[0]]), members[left[near]]
-            left = left[~near]
+            own = near[left[0], left]
+            yield int(members[left[0]]), members[left[own]]
+            left = left[~own]
 
     def members(self, node: int) -> np.ndarray:
         return self.order[slice(*self.span[node])]
@@ -114,32 +119,25 @@ def dual_traversal(s: CoverTree, t: CoverTree, least: float) -> Iterator[tuple[n
                 todo.append((m, n))
 
 
-def linked(x: np.ndarray, weight: np.ndarray, second: np.ndarray, within: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(linked vectors, root) of each class of a task.  second: which belong to the second part; without any (within), all meet
-    all, else each of one part those of the other.  A class's own weight is not counted."""
-    count, root = np.zeros(len(x), np.int64), np.arange(len(x))
+def linked(x: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(linked weight of each of x, component of each of x, that of each of y) of links between x and y; y's weights are given.
+
+    Components are numbered by a member's place, y after x.  y is cut into trees of PART members.
+    """
+    count, root = np.zeros(len(x), np.int64), np.arange(len(x) + len(y))
     ends: list[np.ndarray] = []
-    places = [np.arange(len(x))] if within else [np.flatnonzero(~second), np.flatnonzero(second)]
-    if any(len(p) == 0 for p in places):
-        return count, root
-    trees = [CoverTree(x[p]) for p in places]
-    for a, b, hit in dual_traversal(trees[0], trees[-1], least):
-        square = within and len(a) == len(b) and a is not b and np.array_equal(a, b)
-        a, b = places[0][a], places[-1][b]
-        if hit is None:
-            count[a] += weight[b].sum() - (weight[a] if square else 0)
-            if not square:
-                count[b] += weight[a].sum()
-            both = np.concatenate([a, b])
-            ends.append(np.stack([both, np.full(len(both), a[0])]))
-            continue
-        if square:
-            np.fill_diagonal(hit, False)
-        count[a] += hit @ weight[b]
-        if not square:
-            count[b] += weight[a] @ hit
-        i, j = np.nonzero(hit)
-        ends.append(np.stack([a[i], b[j]]))
+    tree = CoverTree(x)
+    for at in range(0, len(y), PART):
+        for a, b, hit in dual_traversal(tree, CoverTree(y[at : at + PART]), least):
+            b = b + at
+            if hit is None:
+                count[a] += weight[b].sum()
+                both = np.concatenate([a, b + len(x)])
+                ends.append(np.stack([both, np.full(len(both), a[0])]))
+            else:
+                count[a] += hit @ weight[b]
+                i, j = np.nonzero(hit)
+                ends.append(np.stack([a[i], b[j] + len(x)]))
     if ends:
         u, v = np.concatenate(ends, axis=1)
         while True:  # least label of neighbours, then of the label's own label
@@ -150,16 +148,94 @@ def linked(x: np.ndarray, weight: np.ndarray, second: np.ndarray, within: bool,
             root = root[root]
             if np.array_equal(root, before):
                 break
-    return count, root
+    return count, root[: len(x)], root[len(x) :]
+
+
+def visits(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest centre of each of x, which centres' cells may hold a vector within reach of it, distances to all centres).
+
+    A cell lies on its centre's side of every bisector, so it is out of reach if the bisector with some other centre is further than that.
+    """
+    square = np.maximum(0, 2 - 2 * x @ centres.T)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    nearest = square.argmin(axis=1)
+    may = square - square[np.arange(len(x)), nearest][:, None] <= 2 * reach * apart[nearest] + EPS
+    for i in range(len(centres)):  # the bisectors with all other centres
+        may &= square - square[:, i : i + 1] <= 2 * reach * apart[i] + EPS
+    may[np.arange(len(x)), nearest] = True
+    return nearest, may, np.sqrt(square)
 
 
 def _rows(part: pd.DataFrame, column: str = "vector") -> np.ndarray:
     return np.stack(part[column].to_numpy())
 
 
+def _routed(classes: DataFrame, reach: float) -> DataFrame:
+    """(node, home, class, weight, vector): each class in its leaf (home) and in those that it visits."""
+    vector = classes.schema["vector"].dataType.simpleString()
+    schema = f"node string, home boolean, away double, class long, weight long, vector {vector}"
+    rows = classes.select(F.col("kind").alias("node"), F.lit(True).alias("home"), F.lit(0.0).alias("away"), "class", "weight", "vector")
+    done: list[DataFrame] = []
+
+    def routed(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(centres):
+            return pd.DataFrame(columns=["node", "home", "away", "class", "weight", "vector"])
+        centres = centres.sort_values("child")
+        nearest, may, away = visits(unit(_rows(own)), unit(_rows(centres)), reach)
+        i, j = np.nonzero(may)
+        out = own[["class", "weight", "vector"]].iloc[i]
+        names = np.array([f"{own['node'].iloc[0]}.{c}" for c in centres["child"]], object)
+        home = own["home"].to_numpy()[i] & (nearest[i] == j)
+        return out.assign(node=names[j], home=home, away=away[i, j])[["node", "home", "away", "class", "weight", "vector"]]
+
+    for _ in range(LEVELS):
+        sizes = staged(rows.groupBy("node").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n")), "vectors")
+        sizes = sizes.where(f"homes > {PART}")
+        if sizes.isEmpty():
+            break
+        split = rows.join(sizes, "node")
+        done.append(rows.join(sizes, "node", "left_anti"))
+        drawn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("class"), "class"))
+        few = split.where("home").withColumn("child", drawn).where(F.col("child") <= FAN).where(F.col("child") <= F.ceil(F.col("homes") / PART))
+        salts = F.ceil(F.col("n") / VISITORS).cast("int")
+        centres = staged(few.select("node", "child", "vector", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "vectors")
+        dealt = split.select("node", "home", "class", "weight", "vector", F.pmod(F.xxhash64("class"), salts).cast("int").alias("salt"))
+        below = staged(dealt.groupBy("node", "salt").cogroup(centres.groupBy("node", "salt")).applyInPandas(routed, schema), "vectors")
+        radius = below.where("home").groupBy("node").agg(F.max("away").alias("radius"))  # a child without classes of its own has none
+        rows = below.join(radius, "node").where(F.col("home") | (F.col("away") <= F.col("radius") + reach + EPS)).drop("radius")
+    for more in done:
+        rows = rows.union(more.select(*rows.columns))
+    return rows.drop("away")
+
+
+def _met(leaves: DataFrame, least: float) -> DataFrame:
+    """(class, n, root): linked weight of each class in its leaf, and for all classes with a link a member of their component there."""
+    sizes = leaves.groupBy("node").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n"))
+    parts, others = F.ceil(F.col("homes") / PART).cast("int"), F.ceil(F.col("n") / VISITORS).cast("int")
+    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "class"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    joined = leaves.join(sizes, "node")
+    here = joined.where("home").select("node", place(parts, 1).alias("i"), each(others).alias("j"), F.lit(True).alias("own"), "class", "weight", "vector")
+    there = joined.select("node", each(parts).alias("i"), place(others, 2).alias("j"), F.lit(False).alias("own"), "class", "weight", "vector")
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        own, other = rows[rows["own"]], rows[~rows["own"]]
+        if not len(own) or not len(other):
+            return pd.DataFrame({"class": [], "n": [], "root": []})
+        a, b, weight = own["class"].to_numpy(), other["class"].to_numpy(), other["weight"].to_numpy()
+        count, x, y = linked(unit(_rows(own)), unit(_rows(other)), weight, least)
+        count[np.isin(a, b)] -= own["weight"].to_numpy()[np.isin(a, b)]  # a class has met itself
+        ids = np.concatenate([a, b])
+        n = np.concatenate([count, np.zeros(len(b), np.int64)])
+        root = ids[np.concatenate([x, y])]
+        some = (n > 0) | (root != ids)
+        return pd.DataFrame({"class": ids[some], "n": n[some], "root": root[some]})
+
+    return here.union(there).groupBy("node", "i", "j").applyInPandas(compared, "class long, n long, root long")
+
+
 def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component) of every vector: others linked directly, and the smallest id reachable by links."""
-    spark = vectors.sparkSession
     v = F.col("vector")
     finite = ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).cast("string").alias("label"))
@@ -168,73 +244,8 @@ def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vec
     classes = rows.where("kind is not null").groupBy("kind", "vector").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"))
     classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "vectors")
 
-    # centres of the large labels, by rising hash of the class
-    sizes = staged(classes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).where(f"n > {PART}"), "vectors")
-    each = min(CENTRES, ALL_CENTRES // max(1, sizes.count()))
-    share = F.pmod(F.xxhash64("class"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = F.least(F.lit(each), F.ceil(F.col("n") / PART))
-    drawn = classes.join(sizes, "kind").where(share * F.col("n") < few).select("kind", "class", "vector")
-    centres: dict[str, np.ndarray] = {}
-    if each:
-        found = drawn.orderBy(F.xxhash64("class"), "class").limit(2 * ALL_CENTRES).toPandas()  # about ALL_CENTRES rows: their expected number
-        centres = {k: unit(_rows(own.iloc[: 2 * CENTRES])) for k, own in found.groupby("kind")}
-    sent = spark.sparkContext.broadcast(centres)
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            part["cell"], part["away"] = 0, 0.0
-            for kind, own in part.groupby("kind"):
-                if kind in sent.value:
-                    cosine = unit(_rows(own)) @ sent.value[kind].T
-                    part.loc[own.index, "cell"] = cosine.argmax(axis=1)
-                    part.loc[own.index, "away"] = np.sqrt(np.maximum(0, 2 - 2 * cosine.max(axis=1)))
-            yield part
-
-    kind = classes.schema["vector"].dataType.simpleString()
-    dealt_out = classes.select("kind", "class", "weight", "vector").mapInPandas(dealt, f"kind string, class long, weight long, vector {kind}, cell int, away double")
-    cells = staged(dealt_out, "vectors")
-    large = cells.join(sizes.select("kind"), "kind").groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
-    # cells of the large labels that may hold a link between them: as many cells as centres at most
-    reach = math.sqrt(2 - 2 * least)
-    plan: dict[str, dict[int, list[tuple[int, int]]]] = {}
-    for name, own in large.toPandas().groupby("kind"):
-        c = own["cell"].to_numpy()
-        r, parts = own["radius"].to_numpy(), -(-own["n"].to_numpy() // PART)
-        at = centres.get(name)
-        d = np.sqrt(np.maximum(0, 2 - 2 * at[c] @ at[c].T)) if at is not None else np.zeros((len(c), len(c)))
-        may = (d <= r[:, None] + r + reach + EPS) | (at is None) | np.eye(len(c), dtype=bool)
-        plan[name] = {int(c[i]): [(int(c[i]), int(parts[i]))] + [(int(c[j]), int(parts[j])) for j in np.flatnonzero(may[i]) if j != i] for i in range(len(c))}
-    meeting = spark.sparkContext.broadcast(plan)
-
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each class to every task where its part meets another, and to its own."""
-        names = ["kind", "c1", "p1", "c2", "p2", "second", "class", "weight", "vector"]
-        for part in batches:
-            for (kind, cell), own in part.groupby(["kind", "cell"]):
-                partners = meeting.value.get(kind, {}).get(cell, [(cell, 1)])
-                p = ((own["class"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % partners[0][1]
-                for c, parts in partners:
-                    for q in range(parts):
-                        after = (cell > c) | ((cell == c) & (p > q))
-                        out = own[["kind", "class", "weight", "vector"]].assign(
-                            c1=np.where(after, c, cell), p1=np.where(after, q, p), c2=np.where(after, cell, c), p2=np.where(after, p, q), second=after
-                        )
-                        yield out[names]
-
-    schema = f"kind string, c1 int, p1 int, c2 int, p2 int, second boolean, class long, weight long, vector {kind}"
-    group = ["kind", "c1", "p1", "c2", "p2"]
-    spread = cells.select("kind", "class", "weight", "vector", "cell").mapInPandas(met, schema).repartition(*group)
-
-    def compared(own: pd.DataFrame) -> pd.DataFrame:
-        first = own.iloc[0]
-        within = first["c1"] == first["c2"] and first["p1"] == first["p2"]
-        count, root = linked(unit(_rows(own)), own["weight"].to_numpy(), own["second"].to_numpy(), within, least)
-        ids = own["class"].to_numpy()
-        some = count > 0
-        return pd.DataFrame({"class": ids[some], "n": count[some], "root": ids[root[some]]})
-
-    # a group has two parts at most
-    found = staged(spread.groupBy(*group).applyInPandas(compared, "class long, n long, root long"), "vectors")
+    leaves = _routed(classes, math.sqrt(2 - 2 * least))
+    found = staged(_met(leaves, least), "vectors")
     roots = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     n = found.groupBy("class").agg(F.sum("n").alias("n"))
     named = staged(
@@ -254,3 +265,17 @@ def op9(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     found = near_links(vectors).withColumnRenamed("component", "component_id")
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+OP9_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+v AS (SELECT rid, vec_id, label, list_transform(x, lambda a: a / sqrt(list_sum(list_transform(x, lambda b: b * b)))) AS u FROM e
+      WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda a: a IS NULL OR NOT isfinite(a))) = 0 AND len(list_filter(x, lambda a: a <> 0)) > 0),
+l AS (SELECT a.rid AS i, b.rid AS j, b.vec_id FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.u) = len(b.u)
+      WHERE list_dot_product(a.u, b.u) >= 0.98),
+r AS (SELECT rid AS i, rid AS j, vec_id FROM e UNION SELECT r.i, l.j, l.vec_id FROM r JOIN l ON r.j = l.i),
+c AS (SELECT i, min(vec_id) AS component_id FROM r GROUP BY i),
+n AS (SELECT i, count(*) AS n FROM l GROUP BY i)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, coalesce(e.vec_id = component_id, false) AS kept
+FROM e JOIN c ON c.i = e.rid LEFT JOIN n ON n.i = e.rid
+"""

@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.OP3_SQL, "op6_mixing": mixing.OP6_SQL, "op8_quality_rules": rules.OP8_SQL}
+    return {
+        "op3_chat_formatting": chat.OP3_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+        "op8_quality_rules": rules.OP8_SQL,
+        "op9_embedding_near_dedup": embeddings.OP9_SQL,
+    }
