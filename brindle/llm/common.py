@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..staging import remove, shared_folder, staged, staged_at
 
-__all__ = ["WORD", "bounded_sample", "components", "remainder", "shared_folder", "single_threaded", "staged"]
+__all__ = ["WORD", "bounded_sample", "components", "remainder", "shared_folder", "sieved", "single_threaded", "staged"]
 
 #: Words of every contract: runs of anything but space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +67,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+#: Bits of a sieve: 2 MB, whatever it holds.
+SIEVE_BITS = 1 << 24
+
+
+def sieved(rows: DataFrame, hash_of: str, keys: DataFrame) -> DataFrame:
+    """rows with `maybe`: true for every row whose `hash_of` (long) is among the single column of keys, and for a few others.
+
+    The keys are or-ed into a bitmap of SIEVE_BITS bits in Spark, so what is broadcast has a fixed size; what falls through a saturated one costs a
+    shuffle and no result.
+    """
+    slot = lambda c: F.pmod(c, F.lit(SIEVE_BITS)) + 1
+    key = slot(F.col(keys.columns[0]))
+    maps = keys.select(key.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("_bits"))
+    at = rows.withColumn("_slot", slot(F.col(hash_of)))
+    found = at.join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(bitmap_bit_position(_slot) div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, CAST(bitmap_bit_position(_slot) % 8 AS INT)) % 2 = 1")
+    return found.withColumn("_byte", F.coalesce(byte, F.lit(0))).withColumn("maybe", bit).drop("_slot", "_bucket", "_bits", "_byte")
+
+
 @functools.cache
 def single_threaded() -> None:
     """Called in tasks: native libraries must not start threads of their own there."""

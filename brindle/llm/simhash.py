@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import components, staged
+from .common import components, sieved, staged
 
 BLOCKS, IN_FAMILY, FULL, SEED = 6, 9, 16, 42
 #: Members of a bucket that one task compares with those of one other part.
@@ -282,20 +282,22 @@ def _alike_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(held)
 
 
-def _row_hashes(docs: DataFrame) -> list:
-    """h and g, 128 bits of all columns of a row; nulls count by their place."""
+def _hashed_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, id, h, g, text): the rows of docs inside `row`, so that no name clashes, and 128 bits of all their columns; nulls count by their place."""
     cols = [x for c in docs.columns for x in (docs[c], docs[c].isNull())]
-    return [F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(SEED), *cols).alias("g")]
+    own = [docs[key].alias("id"), F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(SEED), *cols).alias("g"), docs[text].alias("text")]
+    return docs.select(F.struct(*docs.columns).alias("row"), *own)
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root, best): each distinct set of 5-word shingles, its component under links of Jaccard similarity 0.8 or more,
-    and the first of its rows by id (nulls last) and row hashes.
+def near_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of near copies among rows (id, h, g, text): all rows as (id, h, g, node), and (node, root) of the groups of several nodes.
 
+    A node is a distinct set of 5-word shingles; nodes are linked by a Jaccard similarity of 0.8 or more.
     SimHash is no filter here: of the 48 such pairs of the 0.1 table the fingerprints are 4 to 14 of 64 bits apart, and at 14 bits no choice of
     equal bit ranges tells them from other pairs.
     Sets that share a key of least hashes are gathered instead (a pair at 0.8 is missed once in 180,000), and in the gathered groups each
-    set is compared with the others exactly; large groups are split and their parts meet pairwise, as above.
+    set is compared with the others exactly; large groups are split and their parts meet pairwise, as above.  Only rows whose hash a sieve of
+    the gathered ones lets through give their shingles again, in the tasks that read them: texts are never shuffled.
     """
 
     def sketched(batches):
@@ -311,7 +313,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), lists], names=["root", "node", "found"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("g"), lists], names=["h", "g", "found"])
 
     def xxh64(x: np.ndarray) -> int:
         import xxhash
@@ -320,18 +322,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     import pyarrow as pa
 
-    ids = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("id"), *_row_hashes(docs), docs[text].alias("text"))
-    seen = rows.mapInArrow(sketched, f"id {ids}, h long, g long, node long, keys array<long>")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "g")).alias("best")
-    sets = staged(seen.groupBy("node").agg(first, F.any_value("keys").alias("keys")), "simhash")
+    ids = rows.schema["id"].dataType.simpleString()
+    read = rows.select("id", "h", "g", "text")
+    seen = staged(read.mapInArrow(sketched, f"id {ids}, h long, g long, node long, keys array<long>"), "simhash")
+    sets = seen.groupBy("node").agg(F.min(F.struct("h", "g")).alias("of"), F.any_value("keys").alias("keys"))
 
-    keyed = sets.select("node", F.explode("keys").alias("key"))
+    keyed = staged(sets.select("node", F.explode("keys").alias("key")), "simhash")
     lows = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     loose = components(keyed.join(lows, "key").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    of = staged(sets.join(loose, "node").select("node", "root", "best.h", "best.g"), "simhash")
-    texts = rows.select("h", "g", "text").join(of, ["h", "g"]).dropDuplicates(["node"]).select("root", "node", "text")
-    found = staged(texts.mapInArrow(taken, "root long, node long, found array<long>"), "simhash")
+    of = seen.groupBy("node").agg(F.min(F.struct("h", "g")).alias("of")).join(loose, "node").select("node", "root", "of.h", "of.g")
+    of = staged(of, "simhash")
+    some = sieved(read.select("h", "g", "text"), "h", of.select("h")).where("maybe").select("h", "g", "text")
+    found = some.mapInArrow(taken, "h long, g long, found array<long>").join(of, ["h", "g"]).dropDuplicates(["node"])
+    found = staged(found.select("root", "node", "found"), "simhash")
     part = F.greatest(F.lit(STAGE_PART), F.least(F.lit(64 * STAGE_PART), (F.sqrt("n") * 4).cast("int")))
     meet = (
         found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
@@ -341,19 +344,25 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         .select("root", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "node", "found")
     )
     spread = meet.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    roots = components(spread.mapInPandas(_alike_links, "a long, b long"))
-    return sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
+    return seen.drop("keys"), components(spread.mapInPandas(_alike_links, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near copies: the first by id (nulls last), then by the hashes of all its columns.
 
-    Near copies are as in near_groups().  Rows of an id they share, or of none, are rows like any other; of rows equal in all columns one stays.
+    Near copies are as in near_groups().  Rows of an id they share, or of none, are rows like any other; of rows equal in all columns one stays;
+    columns of any name pass through.  Rows that are alone in their group pass where they are read; only those that a sieve of the others' hashes
+    lets through are shuffled.
     """
-    first = near_groups(docs, key, text).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.h").alias("_h"), F.col("best.g").alias("_g"))
-    h, g = _row_hashes(docs)
-    named = docs.select("*", h.alias("_h"), g.alias("_g"))
-    return named.join(staged(first, "simhash"), ["_h", "_g"]).dropDuplicates(["_h", "_g"]).select(*[F.col(c) for c in docs.columns])
+    rows = _hashed_rows(docs, key, text)
+    seen, roots = near_groups(rows)
+    named = seen.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("id").isNull().alias("none"), "id", "h", "g").alias("at"))
+    first = staged(named.groupBy("root").agg(F.min("at").alias("best"), F.count(F.lit(1)).alias("n")), "simhash")
+    many = staged(named.join(first.where("n > 1").select("root"), "root").select("at.h").distinct(), "simhash")
+    own = sieved(rows.select("row", "h", "g"), "h", many)
+    best = first.select(F.col("best.h").alias("h"), F.col("best.g").alias("g"))
+    chosen = own.where("maybe").join(best, ["h", "g"]).dropDuplicates(["h", "g"])
+    return own.where("NOT maybe").select("row.*").union(chosen.select("row.*"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
