@@ -10,7 +10,8 @@ Tokens of a text: its words with A-Z lower-cased, then one end.  All counts cove
 4. word shards merge those.
 
 The arrays are .npy files in the shared folder; scoring workers memory-map them and look up each batch's distinct bigrams.  Words
-and bigrams are known by 64-bit hashes.  Files are written under a temporary name and renamed, so a task may run again.
+and bigrams are known by 64-bit hashes; counts have 64 bits, those of bigrams under 255 one byte.  Files are written under a temporary name and
+renamed, so a task may run again.
 
 Defined results: a null text is the end token alone; with nothing to learn from, the base score is that of N = V = 0 and the model's
 probability of every token is 1; repeated rows count as often as they occur and are scored each; other columns are not read.
@@ -35,7 +36,7 @@ BUCKETS = 1 << 16
 #: Tokens of a shard, and tokens that a counting task holds before it sends them on.
 SHARD_TOKENS, HELD = 4_000_000, 2_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_STATS = np.dtype([("sum", "<u8"), ("n", "<u4", 3)])
+_STATS = np.dtype([("sum", "<u8"), ("n", "<u8", 3)])
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -116,29 +117,26 @@ def _local(path: str) -> str | None:
 
 
 def _save(path: str, array: np.ndarray) -> None:
-    """Writes an .npy file whole or not at all."""
+    """Writes an .npy file under a temporary name and renames it: whole or not at all."""
     temp = f"{path}.{uuid.uuid4().hex}"
     if local := _local(path):
         os.makedirs(os.path.dirname(local), exist_ok=True)
         np.save(_local(temp) + ".npy", array)
         os.replace(_local(temp) + ".npy", local)
         return
-    import io
-
     from pyarrow import fs
 
-    held = io.BytesIO()
-    np.save(held, array)
     system, place = fs.FileSystem.from_uri(path)
     system.create_dir(os.path.dirname(place), recursive=True)
-    with system.open_output_stream(f"{place}.{uuid.uuid4().hex}") as out:
-        out.write(held.getbuffer())
-    with system.open_output_stream(place) as out:
-        out.write(held.getbuffer())
+    beside = f"{place}.{uuid.uuid4().hex}"
+    with system.open_output_stream(beside) as out:
+        np.lib.format.write_array_header_1_0(out, np.lib.format.header_data_from_array_1_0(array))
+        out.write(memoryview(np.ascontiguousarray(array)).cast("B") if array.size else b"")
+    system.move(beside, place)
 
 
 def _open(path: str) -> np.ndarray:
-    """Memory-mapped where the folder is mounted; read through pyarrow's file systems elsewhere."""
+    """Memory-mapped where the shared folder is mounted, which the model is made for; elsewhere a shard is read whole through pyarrow's file systems."""
     if local := _local(path):
         return np.load(local, mmap_mode="r")
     import io
@@ -221,7 +219,7 @@ class KneserNey:
         before = contexts(flat, size)
         words, word_at = np.unique(flat, return_inverse=True)
         shard = shard_of(words, self.shards) if self.shards else np.zeros(len(words), np.int64)
-        pair = np.zeros((len(words), 2), np.uint32)  # left neighbours, count
+        pair = np.zeros((len(words), 2), np.uint64)  # left neighbours, count
         if self.shards:
             self._look_up("words", words, shard, "word-counts", pair)
         left, count = pair[:, 0].astype(np.float64), pair[:, 1].astype(np.float64)
@@ -233,7 +231,7 @@ class KneserNey:
             keys, first, gram_at = np.unique(gram(before, flat), return_index=True, return_inverse=True)
             context = before[first]
             often = self.frequent[bucket_of(context)]
-            c = np.zeros(len(keys), np.uint32)
+            c = np.zeros(len(keys), np.uint64)
             gram_shard = np.where(often, shard_of(keys, self.shards), shard_of(context, self.shards))
             self._look_up("grams", keys, gram_shard, "gram-counts", c)
             full = np.flatnonzero(c == 255)
@@ -256,7 +254,7 @@ class KneserNey:
             stats = stats[ctx_at]
             p1 = p1[word_at][first]
             total = stats["sum"].astype(np.float64)
-            kept = np.maximum(c - d2[np.minimum(c, 3)], 0)
+            kept = np.maximum(c.astype(np.float64) - d2[np.minimum(c, 3).astype(np.int64)], 0)
             p2 = (kept + (stats["n"] @ d2[1:]) * p1) / np.maximum(total, 1)
             score = np.log10(np.where(total > 0, p2, p1))[gram_at]
         at = np.cumsum(size) - size
@@ -352,7 +350,7 @@ def fit(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS) -
             _save(f"{folder}/gram-counts-{s}.npy", np.minimum(count, 255).astype(np.uint8))
             large = count >= 255
             _save(f"{folder}/large-{s}.npy", key[large])
-            _save(f"{folder}/large-counts-{s}.npy", np.minimum(count[large], (1 << 32) - 1).astype(np.uint32))
+            _save(f"{folder}/large-counts-{s}.npy", count[large].astype(np.uint64))
             often = frequent[bucket_of(context)]
             keys, stats = _statistics(context[~often], count[~often])
             _save(f"{folder}/contexts-{s}.npy", keys)
@@ -395,7 +393,7 @@ def fit(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS) -
                 continue
             left, count = sums
             _save(f"{folder}/words-{s}.npy", keys)
-            _save(f"{folder}/word-counts-{s}.npy", np.minimum(np.stack([left, count], axis=1), (1 << 32) - 1).astype(np.uint32))
+            _save(f"{folder}/word-counts-{s}.npy", np.stack([left, count], axis=1).astype(np.uint64))
             row = [len(keys), int(left.sum()), *(int((left == k).sum()) for k in (1, 2, 3, 4)), int((left > 2).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], ["words", "types", "c1", "c2", "c3", "c4", "more"])
 
@@ -409,9 +407,9 @@ def fit(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS) -
 
     spark.range(shards).mapInArrow(empty, "id long").write.format("noop").mode("overwrite").save()
     sent = texts.mapInArrow(counted, "shard int, blob binary")
-    spread = sent.repartition(shards, "shard").sortWithinPartitions("shard")
+    spread = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")  # one shard a task
     parts = staged(spread.mapInArrow(merged, "shard int, blob binary, kind int, of array<long>"), "lm")
-    summary = parts.repartition(shards, "shard").sortWithinPartitions("shard", "kind").select("shard", "blob", "kind")
+    summary = parts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind").select("shard", "blob", "kind")
     names = ["words", "types", "c1", "c2", "c3", "c4", "more"]
     done = summary.mapInArrow(finished, ", ".join(f"{n} long" for n in names)).agg(*[F.sum(n).alias(n) for n in names]).first()
     of = parts.agg(*[F.sum(F.get("of", i)).alias(f"n{i}") for i in range(4)]).first()
