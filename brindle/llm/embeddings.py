@@ -4,12 +4,13 @@ Vectors are scaled to unit length, so that cosine >= c is a distance of at most
 class with a weight.
 
 The upper levels of a label's tree are made by Spark, level by level: a node of more than PART classes gets child centres (its classes of
-lowest hash, as many as it has parts, FAN at most), its classes go to the nearest one, and each class also visits every other child that could hold a
-vector within r of it.  Those are the children whose side of no bisector is further than r away, and whose covering radius plus r reaches the class.
+lowest hash, as many as it has parts, FAN at most), its classes go to the nearest one, and each class also visits every later child that could hold a
+vector within r of it, so that two classes meet once, where the later one of their paths leads.  Those are the children whose side of no bisector is
+further than r away, and whose covering radius plus r reaches the class.
 Both bounds are exact, so no link is lost; routing is a join on node ids, whose large nodes are dealt to tasks in salted parts.
 In a leaf its own classes meet each other and the visitors.  There each side gets a cover tree, nested levels with halving radii, and a dual
 traversal drops node pairs by their covering radii, takes node pairs that lie within r altogether without visiting their members, and verifies
-the rest by the exact cosine.  A class counts its links in its own leaf alone; a task returns counts and one member of each component, never pairs.
+the rest by the exact cosine.  A task returns counts of links and one member of each component, never pairs.
 
 Defined results: rows with a null label and vectors that are null, zero, or hold a null or non-finite component link with nothing; equal
 vectors link with each other; vectors of other lengths never link; repeated rows (equal ids) are vectors each; a null id never names a component
@@ -119,23 +120,25 @@ def dual_traversal(s: CoverTree, t: CoverTree, least: float) -> Iterator[tuple[n
                 todo.append((m, n))
 
 
-def linked(x: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(linked weight of each of x, component of each of x, that of each of y) of links between x and y; y's weights are given.
+def linked(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(linked weight of each of x, that of each of y, component of each of both) of links between x and y, whose weights are of_x and of_y.
 
     Components are numbered by a member's place, y after x.  y is cut into trees of PART members.
     """
-    count, root = np.zeros(len(x), np.int64), np.arange(len(x) + len(y))
+    count, other, root = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.arange(len(x) + len(y))
     ends: list[np.ndarray] = []
     tree = CoverTree(x)
     for at in range(0, len(y), PART):
         for a, b, hit in dual_traversal(tree, CoverTree(y[at : at + PART]), least):
             b = b + at
             if hit is None:
-                count[a] += weight[b].sum()
+                count[a] += of_y[b].sum()
+                other[b] += of_x[a].sum()
                 both = np.concatenate([a, b + len(x)])
                 ends.append(np.stack([both, np.full(len(both), a[0])]))
             else:
-                count[a] += hit @ weight[b]
+                count[a] += hit @ of_y[b]
+                other[b] += of_x[a] @ hit
                 i, j = np.nonzero(hit)
                 ends.append(np.stack([a[i], b[j] + len(x)]))
     if ends:
@@ -148,7 +151,7 @@ def linked(x: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float) -> tu
             root = root[root]
             if np.array_equal(root, before):
                 break
-    return count, root[: len(x)], root[len(x) :]
+    return count, other, root
 
 
 def visits(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,10 +185,12 @@ def _routed(classes: DataFrame, reach: float) -> DataFrame:
             return pd.DataFrame(columns=["node", "home", "away", "class", "weight", "vector"])
         centres = centres.sort_values("child")
         nearest, may, away = visits(unit(_rows(own)), unit(_rows(centres)), reach)
+        at_home = own["home"].to_numpy()
+        may &= (np.arange(len(centres)) >= nearest[:, None]) | ~at_home[:, None]  # earlier children's classes visit here
         i, j = np.nonzero(may)
         out = own[["class", "weight", "vector"]].iloc[i]
         names = np.array([f"{own['node'].iloc[0]}.{c}" for c in centres["child"]], object)
-        home = own["home"].to_numpy()[i] & (nearest[i] == j)
+        home = at_home[i] & (nearest[i] == j)
         return out.assign(node=names[j], home=home, away=away[i, j])[["node", "home", "away", "class", "weight", "vector"]]
 
     for _ in range(LEVELS):
@@ -201,7 +206,7 @@ def _routed(classes: DataFrame, reach: float) -> DataFrame:
         centres = staged(few.select("node", "child", "vector", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "vectors")
         dealt = split.select("node", "home", "class", "weight", "vector", F.pmod(F.xxhash64("class"), salts).cast("int").alias("salt"))
         below = staged(dealt.groupBy("node", "salt").cogroup(centres.groupBy("node", "salt")).applyInPandas(routed, schema), "vectors")
-        radius = below.where("home").groupBy("node").agg(F.max("away").alias("radius"))  # a child without classes of its own has none
+        radius = staged(below.where("home").groupBy("node").agg(F.max("away").alias("radius")), "vectors")  # a child without classes of its own has none
         rows = below.join(radius, "node").where(F.col("home") | (F.col("away") <= F.col("radius") + reach + EPS)).drop("radius")
     for more in done:
         rows = rows.union(more.select(*rows.columns))
@@ -209,29 +214,31 @@ def _routed(classes: DataFrame, reach: float) -> DataFrame:
 
 
 def _met(leaves: DataFrame, least: float) -> DataFrame:
-    """(class, n, root): linked weight of each class in its leaf, and for all classes with a link a member of their component there."""
-    sizes = leaves.groupBy("node").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n"))
+    """(class, n, root): linked weight of each class in a leaf, and for all classes with a link a member of their component there."""
+    sizes = staged(leaves.groupBy("node").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n")), "vectors")
     parts, others = F.ceil(F.col("homes") / PART).cast("int"), F.ceil(F.col("n") / VISITORS).cast("int")
     place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "class"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    joined = leaves.join(sizes, "node")
-    here = joined.where("home").select("node", place(parts, 1).alias("i"), each(others).alias("j"), F.lit(True).alias("own"), "class", "weight", "vector")
-    there = joined.select("node", each(parts).alias("i"), place(others, 2).alias("j"), F.lit(False).alias("own"), "class", "weight", "vector")
+    joined = leaves.join(sizes, "node").where("homes > 0")
+    here = joined.where("home").select("node", place(parts, 1).alias("i"), each(others).alias("j"), F.lit(True).alias("own"), "home", "class", "weight", "vector")
+    there = joined.select("node", each(parts).alias("i"), place(others, 2).alias("j"), F.lit(False).alias("own"), "home", "class", "weight", "vector")
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         own, other = rows[rows["own"]], rows[~rows["own"]]
         if not len(own) or not len(other):
             return pd.DataFrame({"class": [], "n": [], "root": []})
-        a, b, weight = own["class"].to_numpy(), other["class"].to_numpy(), other["weight"].to_numpy()
-        count, x, y = linked(unit(_rows(own)), unit(_rows(other)), weight, least)
-        count[np.isin(a, b)] -= own["weight"].to_numpy()[np.isin(a, b)]  # a class has met itself
-        ids = np.concatenate([a, b])
-        n = np.concatenate([count, np.zeros(len(b), np.int64)])
-        root = ids[np.concatenate([x, y])]
+        a, b, of_a, of_b = own["class"].to_numpy(), other["class"].to_numpy(), own["weight"].to_numpy(), other["weight"].to_numpy()
+        count, back, place = linked(unit(_rows(own)), unit(_rows(other)), of_a, of_b, least)
+        met = np.isin(a, b)
+        count[met] -= of_a[met]  # a class has met itself
+        back[other["home"].to_numpy()] = 0  # the leaf's own classes count as such
+        ids, n = np.concatenate([a, b]), np.concatenate([count, back])
+        root = ids[place]
         some = (n > 0) | (root != ids)
         return pd.DataFrame({"class": ids[some], "n": n[some], "root": root[some]})
 
-    return here.union(there).groupBy("node", "i", "j").applyInPandas(compared, "class long, n long, root long")
+    # a leaf's parts are dealt to tasks apart from each other
+    return here.union(there).repartition("node", "i", "j").groupBy("node", "i", "j").applyInPandas(compared, "class long, n long, root long")
 
 
 def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
