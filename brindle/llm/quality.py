@@ -5,8 +5,8 @@ either dictionary, and the difference of the two total sizes over the text's own
 calibration that was fitted on whole labelled texts kept apart from the dictionaries.
 
 Training takes a bounded number of labelled rows and all of each one's text: tasks count, in mergeable tables, in how many texts of a label
-each hashed byte string occurs, score every block of every text by the strings that it shares with others, and the best block of each of
-EPOCHS hash groups reaches the trainer.
+each hashed byte string occurs, score every block of every text by the strings that it shares with others (over the text's number of blocks, so
+that a long text has no more voice than a short one), and the best block of each of EPOCHS hash groups reaches the trainer.
 
 Defined results: null and empty texts have difference 0 and so get the calibration's value there; a document labelled both
 ways is not learned from; of unlike texts under one labelled id the one of lowest hash is learned from; with no label of a kind
@@ -145,20 +145,20 @@ def best_blocks(rows: DataFrame, counts: np.ndarray, block: int) -> DataFrame:
                 data = t.encode("utf-8", "replace")
                 for a in range(0, len(data), block << 12):
                     own = _blocks(data[a : a + (block << 12)], block)
-                    worth = [int(sent.value[q][string_slots(b)].sum()) for b in own]
+                    worth = [int(sent.value[q][string_slots(b)].sum()) / -(-len(data) // block) for b in own]
                     epoch = [xxhash.xxh32_intdigest(f"{key} {a + i}") % EPOCHS for i in range(0, len(own) * block, block)]
                     found = pd.DataFrame({"q": q, "epoch": epoch, "worth": worth, "bytes": own})
                     yield found.sort_values(["worth", "bytes"]).drop_duplicates("epoch", keep="last")
 
-    found = rows.mapInPandas(scored, "q int, epoch int, worth long, bytes binary")
+    found = rows.mapInPandas(scored, "q int, epoch int, worth double, bytes binary")
     return found.groupBy("q", "epoch").agg(F.max(F.struct("worth", "bytes")).alias("best"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = 2000, dictionary_bytes: int = 112_640, block: int = 256) -> QualityModel:
     """Learns from the whole texts of at most `docs_per_label` documents of each label, whose labels rows the caller has chosen.
 
-    Three quarters train the dictionaries, the rest the calibration, on whole texts in tasks.  The driver gathers 2 * SLOTS counts, at most
-    2 * EPOCHS blocks (8 MB) and a number for each text kept apart.
+    Dictionaries of either half of them measure the whole texts of the other half, in tasks, for the calibration; the final ones are of all.  The
+    driver gathers 2 * SLOTS counts, at most 2 * EPOCHS blocks (8 MB) and a number for each text.
     """
     kinds = (
         labels.where("doc_id is not null and quality in (0, 1)")
@@ -172,127 +172,39 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = 2000, dictiona
     one = F.min_by("text", F.xxhash64("text")).alias("text")
     found = docs.where("text is not null and text <> ''").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * docs_per_label rows
     rows = staged(found.groupBy("doc_id").agg(F.any_value("q").cast("int").alias("q"), one).select("q", F.col("doc_id").cast("string").alias("key"), "text"), "quality")
-    apart = F.pmod(F.xxhash64("key"), F.lit(4)) == 0
-    ids = rows.groupBy("q").agg(F.count_if(apart).alias("apart"), F.count_if(~apart).alias("own")).collect()
-    if len(ids) < 2:
+    half = F.pmod(F.xxhash64("key"), F.lit(2))
+    size = {(r["q"], r["half"]): r["count"] for r in rows.groupBy("q", half.alias("half")).count().collect()}  # four rows at most
+    if len({q for q, _ in size}) < 2:
         return QualityModel(b"", b"", 0.0, 0.0, block)
-    if any(not r["apart"] or not r["own"] for r in ids):  # a few texts: they serve for both
-        train = kept = rows
-    else:
-        train, kept = rows.where(~apart), rows.where(apart)
-    sums = train.mapInPandas(_counted, "q int, slot int, n long").groupBy("q", "slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, SLOTS), np.int64)
-    counts[sums["q"], sums["slot"]] = sums["n"]
-    blocks = sorted((r["q"], r["epoch"], bytes(r["best"]["bytes"])) for r in best_blocks(train, counts, block).collect())
-    good, bad = (_train_dictionary([b for q, _, b in blocks if q == side], dictionary_bytes) for side in (1, 0))
-    rough = QualityModel(good, bad, 1.0, 0.0, block)
-
-    @pandas_udf("double")
-    def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(rough)
-        for texts in batches:
-            yield pd.Series([scorer.difference(t) for t in texts], dtype="float64")
-
-    seen = kept.select("q", "key", difference("text").alias("x")).toPandas().sort_values(["q", "key"])
-    x, y = seen["x"].to_numpy(), seen["q"].to_numpy().astype(float)
-    weight = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())  # the labels' own shares, not those of the sample
-    slope, bias = _logistic(x, y, weight / weight.mean())
-    return QualityModel(good, bad, slope, bias, block)
-
-
-def score(self, text: str | None) -> float:
-        z = self.model.slope * self.difference(text) + self.model.bias
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z))))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted; slope and bias by damped Newton steps with a small ridge; a one-sided y gives slope 0."""
-    if len(x) == 0 or y.min() == y.max():
-        return 0.0, 0.0
-    scale = float(np.abs(x).max()) or 1.0
-    a = np.column_stack([x / scale, np.ones_like(x)])
-    w = np.zeros(2)
-    ridge = np.diag([1e-2, 1e-6])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (p - y)) + ridge @ w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1])
-
 
-def _train_dictionary(texts: list[str], size: int, block: int) -> bytes:
-    import zstandard
+    def dictionaries(some: DataFrame) -> tuple[bytes, bytes]:
+        sums = some.mapInPandas(_counted, "q int, slot int, n long").groupBy("q", "slot").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros((2, SLOTS), np.int64)
+        counts[sums["q"], sums["slot"]] = sums["n"]
+        blocks = sorted((r["q"], r["epoch"], bytes(r["best"]["bytes"])) for r in best_blocks(some, counts, block).collect())
+        return tuple(_train_dictionary([b for q, _, b in blocks if q == side], dictionary_bytes) for side in (1, 0))
 
-    samples = [b for t in texts for b in _blocks(t.encode("utf-8", "replace"), block)]
-    if not samples:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer: their raw bytes serve as the dictionary
-        return b"".join(samples)[-size:]
+    def differences(some: DataFrame, good: bytes, bad: bytes) -> pd.DataFrame:
+        rough = QualityModel(good, bad, 1.0, 0.0, block)
 
+        @pandas_udf("double")
+        def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            scorer = Scorer(rough)
+            for texts in batches:
+                yield pd.Series([scorer.difference(t) for t in texts], dtype="float64")
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    docs_per_label: int = 2000,
-    excerpt_bytes: int = 12_288,
-    dictionary_bytes: int = 112_640,
-    block: int = 256,
-) -> QualityModel:
-    """Learns from at most `docs_per_label` documents of each label, whose labels rows the caller has chosen.
+        return some.select("q", "key", difference("text").alias("x")).toPandas()
 
-    Of each, at most `excerpt_bytes` bytes in blocks spread over the whole text reach the driver, so that it gathers under
-    2 * docs_per_label * excerpt_bytes bytes.  Three quarters train the dictionaries, the rest the calibration (on the excerpts).
-    """
-    kinds = (
-        labels.where("doc_id is not null and quality in (0, 1)")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("_q"), F.max("quality").alias("_q2"))
-        .where("_q = _q2")
-        .select("doc_id", "_q")
-    )
-    share = {r["_q"]: r["count"] for r in kinds.groupBy("_q").count().collect()}  # two rows at most
-    chosen = bounded_sample(kinds, "_q", docs_per_label)
-
-    @pandas_udf("string")
-    def excerpt(texts: pd.Series) -> pd.Series:
-        def spread(t: str) -> str:
-            most = max(1, excerpt_bytes // block)
-            parts = [t[i : i + block] for i in range(0, len(t), block)]
-            return "".join(parts if len(parts) <= most else [parts[i * len(parts) // most] for i in range(most)])
-
-        return texts.map(spread)
-
-    rows = (
-        docs.where("text is not null and text <> ''")
-        .select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # at most 2 * docs_per_label rows
-        .select("doc_id", "_q", excerpt("text").alias("x"))
-        .dropDuplicates(["doc_id"])
-        .collect()
-    )
-    rows.sort(key=lambda r: r["doc_id"])
-    if len({r["_q"] for r in rows}) < 2:
-        return QualityModel(b"", b"", 0.0, 0.0, block)
-    sides: dict[int, list[str]] = {0: [], 1: []}
-    apart: list[tuple[str, int]] = []
-    for side in (0, 1):
-        own = [r["x"] for r in rows if r["_q"] == side]
-        cut = max(1, len(own) * 3 // 4)
-        sides[side] = own[:cut]
-        apart += [(x, side) for x in own[cut:] or own]
-    rough = QualityModel(
-        _train_dictionary(sides[1], dictionary_bytes, block), _train_dictionary(sides[0], dictionary_bytes, block), 1.0, 0.0, block
-    )
-    scorer = Scorer(rough)
-    x = np.array([scorer.difference(t) for t, _ in apart])
-    y = np.array([float(k) for _, k in apart])
-    weight = np.array([share[k] / (y == k).sum() for _, k in apart])  # the labels' own shares, not those of the sample
+    good, bad = dictionaries(rows)
+    if len(size) < 4:  # a few texts: they serve for both
+        seen = differences(rows, good, bad)
+    else:
+        seen = pd.concat([differences(rows.where(half == k), *dictionaries(rows.where(half != k))) for k in (0, 1)])
+    seen = seen.sort_values(["q", "key"])
+    x, y = seen["x"].to_numpy(), seen["q"].to_numpy().astype(float)
+    weight = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())  # the labels' own shares, not those of the sample
     slope, bias = _logistic(x, y, weight / weight.mean())
-    return QualityModel(rough.good, rough.bad, slope, bias, block)
+    return QualityModel(good, bad, slope, bias, block)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
