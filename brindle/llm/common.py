@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 import os
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import remove, shared_folder, staged, staged_at
 
-__all__ = ["WORD", "bounded_sample", "components", "remainder", "shared_folder", "sieved", "single_threaded", "staged"]
+__all__ = ["WORD", "bounded_sample", "components", "remainder", "shared_folder", "sieved", "single_threaded", "small_batches", "staged"]
 
 #: Words of every contract: runs of anything but space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,10 +25,10 @@ def bounded_sample(df: DataFrame, by: str, rows: int, key: str = "doc_id") -> Da
     """At most `rows` rows of each value of `by`, those of lowest hash of `key`; rows of equal keys by the hash of all their columns.
 
     A first pass counts each value, so that the window only sorts about twice the rows asked for, however many there are.
-    The counts have a row for each value; Spark broadcasts them only if their measured size is under the session's threshold.
+    The counts, a row for each value, are staged: Spark sees their size and broadcasts them if it is under the session's threshold.
     """
     whole = df.select(F.struct(*df.columns).alias("row"), F.col(by).alias("by"), F.col(key).alias("key"))
-    counts = whole.groupBy(F.col("by").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(whole.groupBy(F.col("by").alias("of")).agg(F.count(F.lit(1)).alias("n")), "sample")
     unit = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     near = whole.withColumn("u", unit).join(counts, F.col("by") == F.col("of")).where(F.col("u") * F.col("n") <= 2.0 * rows)
     rank = F.row_number().over(Window.partitionBy("by").orderBy("u", "key", F.xxhash64("row")))
@@ -67,6 +67,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+#: Whole texts in an Arrow batch: ten thousand, Spark's own number, are hundreds of MB where texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bounds the session's Arrow batches to `rows` rows; smaller bounds stay.  Called by operators whose tasks take whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 #: Bits of a sieve: 2 MB, whatever it holds.
 SIEVE_BITS = 1 << 24
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bounded_sample, remainder, staged
+from .common import bounded_sample, remainder, small_batches, staged
 
 # fixed values: first code point of each range and its script, from the Unicode block list
 SCRIPT_RANGES = (
@@ -351,6 +351,8 @@ def fit(docs: DataFrame, docs_per_lang: int = 1000, key: str = "doc_id") -> Lang
     """
     sample = bounded_sample(docs.where("text is not null and lang is not null").select(key, "text", "lang"), "lang", docs_per_lang, key)
 
+    small_batches(docs.sparkSession)
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for lang, own in part.groupby("lang"):
@@ -367,20 +369,22 @@ def fit(docs: DataFrame, docs_per_lang: int = 1000, key: str = "doc_id") -> Lang
                     yield pd.concat(rows[1:] or rows)
 
     sums = sample.mapInPandas(counted, "lang string, kind int, h long, c long").groupBy("lang", "kind", "h").agg(F.sum("c").alias("c"))
-    packed = staged(sums.groupBy("lang").agg(F.collect_list(F.struct("kind", F.col("h").cast("int").alias("h"), "c")).alias("counts")), "language")
+    place = F.col("kind") * F.lit(1 << BITS) + F.col("h")
+    packed = staged(sums.groupBy("lang").agg(F.collect_list(F.shiftleft(place, 40).bitwiseOR(F.col("c"))).alias("counts")), "language")
     langs = tuple(sorted(r["lang"] for r in packed.select("lang").collect()))
     table = np.zeros((LONGEST, 1 << BITS, len(langs)), np.float32)
     allowed = np.zeros((len(SCRIPTS), len(langs)), bool)
     for row in packed.toLocalIterator():
         at = langs.index(row["lang"])
-        kind, h, c = np.array(row["counts"], np.int64).reshape(-1, 3).T
+        counts = np.array(row["counts"], np.int64)
+        kind, h, c = counts >> (40 + BITS), (counts >> 40) & ((1 << BITS) - 1), counts & ((1 << 40) - 1)
         letters = c * (kind == 0)
         allowed[h[(kind == 0) & (letters >= SCRIPT_SHARE * letters.sum())], at] = True
         for n in range(1, LONGEST + 1):
             own = kind == n
-            counts = np.full(1 << BITS, 0.5)
-            counts[h[own]] += c[own]
-            table[n - 1, :, at] = np.log(counts / counts.sum())
+            value = np.full(1 << BITS, 0.5)
+            value[h[own]] += c[own]
+            table[n - 1, :, at] = np.log(value / value.sum())
     table -= table.mean(axis=2, keepdims=True) if langs else 0
     return LanguageModel(langs, table * np.float32(1 / LONGEST), allowed)
 
@@ -390,6 +394,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     The model (LONGEST * 2**BITS floats a language, 1 MB each) goes to the workers as a broadcast variable.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = "struct<lang:string,score:double,spans:array<struct<lang:string,first_word:long,words:long,letters:long>>>"
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, shared_folder, staged
+from .common import remainder, shared_folder, small_batches, staged
 
 BUCKETS = 1 << 16
 #: Tokens of a shard, and tokens that a counting task holds before it sends them on.
@@ -279,6 +279,7 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterat
 def fit(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> KneserNey:
     """Learns from every text of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     texts = docs.select(F.col(text).alias("text"))
 
@@ -427,6 +428,7 @@ def perplexity_scores(docs: DataFrame, model: KneserNey, key: str = "doc_id", te
             found = model.score(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in found.values())], [key, *found])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(scored, f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double")
 

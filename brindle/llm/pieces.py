@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import small_batches, staged
 from .tokens import Encoder
 
 SPACE = "▁"
@@ -337,6 +337,7 @@ def _giant_pieces(giants: DataFrame, path: str, chunk: int) -> DataFrame:
 def encode(docs: DataFrame, path: str, text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """docs with `pieces` (array<int>), the ids of the sentencepiece model at `path`."""
 
+    small_batches(docs.sparkSession)
     own = docs.drop("pieces")
     rows = own.select(F.struct(*own.columns).alias("row"))
     place = [c.lower() for c in own.columns].index(text.lower())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bounded_sample, remainder, staged
+from .common import bounded_sample, remainder, small_batches, staged
 
 #: Bytes of a counted string, counters of a label, and groups of blocks whose best one is trained on.
 STRING, SLOTS, EPOCHS = 8, 1 << 18, 16_384
@@ -167,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = 2000, dictiona
         .where("q = q2")
         .select("doc_id", "q")
     )
+    small_batches(docs.sparkSession)
     share = {r["q"]: r["count"] for r in kinds.groupBy("q").count().collect()}  # two rows at most
     chosen = bounded_sample(kinds, "q", docs_per_label)
     one = F.min_by("text", F.xxhash64("text")).alias("text")
@@ -210,6 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = 2000, dictiona
 def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """docs with a column `score` in 0 to 1, higher where label 1 is likelier.  The model is under 0.2 MB."""
 
+    small_batches(docs.sparkSession)
+
     @pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import components, sieved, staged
+from .common import components, sieved, small_batches, staged
 
 BLOCKS, IN_FAMILY, FULL, SEED = 6, 9, 16, 42
 #: Members of a bucket that one task compares with those of one other part.
@@ -197,6 +197,7 @@ def links(prints: DataFrame, reach: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 3) -> DataFrame:
     """(key, print long, component): each row's fingerprint and the smallest id reachable by links of at most `reach` bits."""
+    small_batches(docs.sparkSession)
     rows = staged(docs.select(F.col(key).alias("id"), _fingerprints(F.col(text)).alias("print")), "simhash")
     prints = staged(rows.groupBy("print").agg(F.min("id").alias("low")), "simhash")
     roots = components(links(prints.select("print"), reach))
@@ -322,6 +323,7 @@ def near_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     import pyarrow as pa
 
+    small_batches(rows.sparkSession)
     ids = rows.schema["id"].dataType.simpleString()
     read = rows.select("id", "h", "g", "text")
     seen = staged(read.mapInArrow(sketched, f"id {ids}, h long, g long, node long, keys array<long>"), "simhash")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, single_threaded, staged
+from .common import shared_folder, single_threaded, small_batches, staged
 
 END = 2
 NULL_ID = -(1 << 63)
@@ -330,6 +330,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
         if keys:
             yield close()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))  # ranges may end inside an id that many rows have
     rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").drop("h").mapInArrow(encoded, SCHEMA).write.parquet(path)
