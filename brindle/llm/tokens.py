@@ -34,10 +34,10 @@ from .common import shared_folder, single_threaded, small_batches, staged
 
 END = 2
 NULL_ID = -(1 << 63)
-#: Tokens that a shard is closed after; least count of a pair that is replaced; pairs that are replaced in one round.
-SHARD_TOKENS, LEAST, RULES = 1 << 19, 8, 8192
-#: Counters of a round, and the multiplier of their hash.
-SLOTS, ODD = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
+#: Tokens that a shard is closed after; least count of a pair that is replaced.
+SHARD_TOKENS, LEAST = 1 << 19, 8
+#: Counters of a round, and multipliers of their hashes.
+SLOTS, ODD = 1 << 18, np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 SCHEMA = (
     "part int, shard int, first_id long, last_id long, first_rule long, tokens long, doc_id binary, n_tokens binary, n_symbols binary, rounds binary, "
     "left binary, right binary, expansion binary, sequence binary"
@@ -194,12 +194,35 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def repair(ids: np.ndarray, sizes: np.ndarray, first_rule: int, least: int = LEAST, most: int = RULES) -> dict:
+def _frequent(seq: np.ndarray, at: np.ndarray, least: int, odd: np.uint64, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places among `at` where a pair begins that occurs `least` times among them, its number, the pairs).
+
+    Counters are hashed; of frequent pairs that share one a single pair is found, unless `exact`.
+    """
+    code = (seq[at] << 32) | seq[at + 1]
+    hashed = ((code.view(np.uint64) * odd) >> np.uint64(65 - SLOTS.bit_length())).view(np.int64)  # as counting and indexing take it
+    may = (np.bincount(hashed, minlength=SLOTS) >= least)[hashed]
+    at, code, hashed = at[may], code[may], hashed[may]
+    if exact:
+        pairs, number, counts = np.unique(code, return_inverse=True, return_counts=True)
+    else:
+        pairs = np.zeros(SLOTS, np.int64)
+        pairs[hashed] = code
+        own = pairs[hashed] == code
+        at, number = at[own], hashed[own]
+        counts = np.bincount(number, minlength=SLOTS)
+    often = counts >= least
+    hit = often[number]
+    return at[hit], (np.cumsum(often) - 1)[number[hit]], pairs[often]
+
+
+def repair(ids: np.ndarray, sizes: np.ndarray, first_rule: int, least: int = LEAST) -> dict:
     """Grammar of the documents whose ids are concatenated (sizes: ids of each).
 
-    A round counts neighbouring pairs (in hashed counters, then exactly where a counter is high), gives the `most` most frequent ones nonterminals
-    and replaces their occurrences left to right; of overlapping occurrences every second one waits for a later round.  Rounds go on until no
-    pair occurs `least` times in places that do not overlap.
+    A round counts neighbouring pairs, gives the frequent ones nonterminals and replaces their occurrences left to right; of overlapping occurrences
+    every second one is gone with its neighbours.  All other pairs then occur less often than `least`, so the next round looks at the places
+    beside new symbols.  When it finds nothing, all places are counted exactly; rounds end when that finds no pair that occurs `least` times
+    in places that do not overlap.
     """
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
@@ -208,36 +231,34 @@ def repair(ids: np.ndarray, sizes: np.ndarray, first_rule: int, least: int = LEA
     expansion = [np.zeros(0, np.int64)]
     symbol = first_rule
     length = lambda s, known: np.where(s < first_rule, 1, known[np.maximum(s - first_rule, 0)]) if len(known) else np.ones(len(s), np.int64)
+    places, exact, round_ = None, False, 0
     while len(seq) > 1:
-        code = (seq[:-1] << 32) | seq[1:]
-        hashed = ((code.view(np.uint64) * ODD) >> np.uint64(65 - SLOTS.bit_length())).view(np.int64)  # as counting and indexing take it
-        may = np.flatnonzero((np.bincount(hashed, minlength=SLOTS) >= least)[hashed] & ~last[:-1])
-        found, place, counts = np.unique(code[may], return_inverse=True, return_counts=True)
-        frequent = np.flatnonzero(counts >= least)
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:most]]
-        rule_of = np.full(len(found) + 1, -1, np.int64)
-        rule_of[frequent] = np.arange(len(frequent))
-        rule = rule_of[place]
-        hit = rule >= 0
-        at, rule = may[hit], rule[hit]
+        whole = np.flatnonzero(~last[:-1]) if places is None else places
+        at, rule, pairs = _frequent(seq, whole, least, ODD[round_ % len(ODD)], exact)
+        round_ += 1
         fresh = np.concatenate([[True], np.diff(at) != 1])[: len(at)]
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - begin) % 2 == 0
         at, rule = at[take], rule[take]
-        used, rule, times = np.unique(rule, return_inverse=True, return_counts=True)  # pairs that are left after overlaps
-        enough = times >= min(least, int(times.max(initial=0)))
-        enough &= times > 1
+        enough = np.bincount(rule, minlength=len(pairs)) >= least  # of what is left after overlaps
         if not enough.any():
-            break
-        number = np.cumsum(enough) - 1
+            if exact:
+                break
+            places, exact = None, True
+            continue
         stays = enough[rule]
-        at, rule = at[stays], number[rule[stays]]
-        pairs = found[frequent[used[enough]]]
+        at, rule, pairs = at[stays], (np.cumsum(enough) - 1)[rule[stays]], pairs[enough]
         seq[at] = symbol + rule
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
+        new = at - np.arange(len(at))  # where the new symbols are now
+        beside = np.zeros(len(seq), bool)
+        beside[new] = True
+        beside[new[new > 0] - 1] = True
+        places = np.flatnonzero(beside & ~last)
+        exact = False
         known = np.concatenate(expansion)
         left.append(pairs >> 32)
         right.append(pairs & 0xFFFFFFFF)

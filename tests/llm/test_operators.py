@@ -195,7 +195,7 @@ def test_repair_random_access():
     rng = np.random.default_rng(3)
     docs = [rng.integers(0, 6, n) for n in (0, 1, 2, 500, 3000, 7)] + [np.zeros(400, int), np.tile([1, 2, 3], 300)]
     sizes = np.array([len(d) for d in docs])
-    row = tokens.repair(np.concatenate(docs), sizes, 10)
+    row = tokens.repair(np.concatenate(docs), sizes, 10, least=4)
     row["doc_id"] = np.arange(len(docs)).astype("<i8").tobytes()
     shard = tokens.Shard(row)
     for i in (7, 0, 4, 3, 6, 1, 2, 5):
