@@ -28,7 +28,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import bounded_sample, remainder, small_batches, staged
 
 #: Bytes of a counted string, counters of a label, and groups of blocks whose best one is trained on.
-STRING, SLOTS, EPOCHS = 8, 1 << 18, 16_384
+STRING, SLOTS, EPOCHS = 8, 1 << 16, 4096
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = 2000, dictiona
     """Learns from the whole texts of at most `docs_per_label` documents of each label, whose labels rows the caller has chosen.
 
     Dictionaries of either half of them measure the whole texts of the other half, in tasks, for the calibration; the final ones are of all.  The
-    driver gathers 2 * SLOTS counts, at most 2 * EPOCHS blocks (8 MB) and a number for each text.
+    driver gathers 2 * SLOTS counts, at most 2 * EPOCHS blocks (2 MB) and a number for each text.
     """
     kinds = (
         labels.where("doc_id is not null and quality in (0, 1)")
