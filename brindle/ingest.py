@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import Catalog
+from .staging import remove, staged_at
 from .types import normalised
 
 
-def insert_all(catalog: Catalog, table: str, rows: list[dict], ignore_unknown: bool = False) -> list[dict]:
-    """Appends the rows that fit the table; returns an error for each of the others ({index, errors})."""
-    of = catalog.table(table).schema
+def checked(of: T.StructType, rows: list[dict], ignore_unknown: bool = False) -> tuple[list[tuple], list[dict]]:
+    """(rows that fit the schema, an error for each of the others: {index, errors})."""
     good, errors = [], []
     for i, row in enumerate(rows):
         try:
@@ -28,9 +30,19 @@ def insert_all(catalog: Catalog, table: str, rows: list[dict], ignore_unknown: b
             errors.append({"index": i, "errors": problems})
         else:
             good.append(tuple(values[f.name] for f in of.fields))
+    return good, errors
+
+
+def _frame(catalog: Catalog, of: T.StructType, good: list[tuple]) -> DataFrame:
+    return catalog.spark.createDataFrame(good, T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in of.fields]))
+
+
+def insert_all(catalog: Catalog, table: str, rows: list[dict], ignore_unknown: bool = False) -> list[dict]:
+    """Appends the rows of one request that fit the table; returns an error for each of the others ({index, errors})."""
+    of = catalog.table(table).schema
+    good, errors = checked(of, rows, ignore_unknown)
     if good:
-        nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in of.fields])
-        catalog.write(table, catalog.spark.createDataFrame(good, nullable), create=False)
+        catalog.write(table, _frame(catalog, of, good), create=False)
     return errors
 
 
@@ -42,7 +54,8 @@ class StreamError(ValueError):
 class WriteStream:
     """COMMITTED rows show at once; PENDING rows when the streams are committed together; BUFFERED rows up to a flushed offset.
 
-    Batches that do not show yet are kept as DataFrames of the caller, in order; a row is written once, and appends may name the offset they expect.
+    A request is taken whole or not at all: its rows are checked first, then written in one append, and only then do offsets move.  Rows that do not
+    show yet are staged as Parquet in the shared folder, one file a request with each row's offset; the driver holds the current request alone.
     """
 
     catalog: Catalog
@@ -53,7 +66,7 @@ class WriteStream:
     shown: int = 0
     finalized: bool = False
     committed: bool = False
-    held: list[list[dict]] = field(default_factory=list)
+    held: list[tuple[int, int, str]] = field(default_factory=list)  # (first offset, end offset, path) of each staged request
 
     def __post_init__(self):
         if self.kind not in ("COMMITTED", "PENDING", "BUFFERED"):
@@ -65,18 +78,33 @@ class WriteStream:
             raise StreamError("the stream is finalized")
         if offset is not None and offset != self.offset:
             raise StreamError(f"offset {offset} where {self.offset} is expected")
+        of = self.catalog.table(self.table).schema
+        good, errors = checked(of, rows)
+        if errors:
+            raise StreamError(str(errors))
         first = self.offset
-        self.offset += len(rows)
-        if self.kind == "COMMITTED":
-            self._write(rows)
-        else:
-            self.held.append(list(rows))
+        if good and self.kind == "COMMITTED":
+            self.catalog.write(self.table, _frame(self.catalog, of, good), create=False)
+        elif good:
+            placed = T.StructType([T.StructField("offset", T.LongType()), T.StructField("row", T.StructType(_frame(self.catalog, of, []).schema.fields))])
+            _, path = staged_at(self.catalog.spark.createDataFrame([(first + i, r) for i, r in enumerate(good)], placed).coalesce(1), "stream")
+            self.held.append((first, first + len(good), path))
+        self.offset += len(good)
+        self.shown = self.offset if self.kind == "COMMITTED" else self.shown
         return first
 
-    def _write(self, rows: list[dict]) -> None:
-        if errors := insert_all(self.catalog, self.table, rows):
-            raise StreamError(str(errors[0]))
-        self.shown += len(rows)
+    def rows(self, start: int, end: int) -> DataFrame | None:
+        """The staged rows of offsets start to end - 1."""
+        paths = [p for a, b, p in self.held if a < end and b > start]
+        if not paths:
+            return None
+        return self.catalog.spark.read.parquet(*paths).where((F.col("offset") >= start) & (F.col("offset") < end)).select("row.*")
+
+    def release(self, end: int) -> None:
+        """Deletes staged requests that show whole."""
+        for _, _, path in (h for h in self.held if h[1] <= end):
+            remove(self.catalog.spark, path)
+        self.held = [h for h in self.held if h[1] > end]
 
     def flush(self, offset: int) -> int:
         """Shows the rows up to and with `offset` of a BUFFERED stream; those already shown are not written again."""
@@ -84,11 +112,10 @@ class WriteStream:
             raise StreamError("only buffered streams are flushed")
         if offset >= self.offset:
             raise StreamError(f"offset {offset} is beyond the stream's end")
-        rows = [r for batch in self.held for r in batch]
-        ready = max(0, offset + 1 - self.shown)
-        self.held = [rows[ready:]]
-        if ready:
-            self._write(rows[:ready])
+        if offset + 1 > self.shown:
+            self.catalog.write(self.table, self.rows(self.shown, offset + 1), create=False)
+            self.shown = offset + 1
+            self.release(self.shown)
         return self.shown
 
     def finalize(self) -> int:
@@ -97,15 +124,20 @@ class WriteStream:
 
 
 def batch_commit(streams: list[WriteStream]) -> None:
-    """Shows the rows of finalized PENDING streams of one table, all in one append."""
+    """Shows the rows of finalized PENDING streams, those of each table in one append."""
     for s in streams:
         if s.kind != "PENDING" or not s.finalized or s.committed:
             raise StreamError(f"stream {s.name} is not a finalized pending stream, or is committed")
-    rows = [r for s in streams for batch in s.held for r in batch]
-    if streams and (errors := insert_all(streams[0].catalog, streams[0].table, rows)):
-        raise StreamError(str(errors[0]))
+    by_table: dict[tuple, list[WriteStream]] = {}
     for s in streams:
-        s.committed, s.shown, s.held = True, s.offset, []
+        by_table.setdefault((id(s.catalog), s.catalog.path(s.table)), []).append(s)
+    for own in by_table.values():
+        rows = [x for s in own if (x := s.rows(0, s.offset)) is not None]
+        if rows:
+            own[0].catalog.write(own[0].table, functools.reduce(DataFrame.unionByName, rows), create=False)
+        for s in own:
+            s.committed, s.shown = True, s.offset
+            s.release(s.offset)
 
 
 def read_rows(catalog: Catalog, table: str, columns: list[str] | None = None, restriction: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +28,11 @@ def extract(df: DataFrame, path: str, form: str = "CSV", delimiter: str = ",", h
         raise ValueError(f"unsupported destination format {form}")
 
 
-def export_data(df: DataFrame, uri: str, form: str = "CSV", overwrite: bool = False, header: bool = True) -> list[str]:
+def export_data(df: DataFrame, uri: str, form: str = "CSV", overwrite: bool = False, header: bool = True, delimiter: str = ",") -> list[str]:
     """EXPORT DATA: the files of `uri`, whose one `*` becomes 000000000000, 000000000001 and so on.  Numbers stay numbers in JSON.
 
-    Spark writes and commits a folder beside the target; its part files are then renamed through Hadoop's file system, so any store works.
+    Spark writes and commits a folder of a fresh name beside the target; its part files are then renamed through Hadoop's file system, so any store works.
+    Without `overwrite` all targets are looked for before the first is made.  Empty texts are quoted and nulls are not, so a load tells them apart.
     """
     if uri.count("*") != 1:
         raise ValueError("the uri holds one wildcard")
@@ -37,26 +40,26 @@ def export_data(df: DataFrame, uri: str, form: str = "CSV", overwrite: bool = Fa
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     hadoop = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     before, after = uri.split("*")
-    temp = f"{before}_export"
-    writer = df.write.mode("overwrite")
+    temp = f"{before}export-{uuid.uuid4().hex}"
     if form == "CSV":
-        as_text(df).write.mode("overwrite").option("header", header).csv(temp)
+        as_text(df).write.option("sep", delimiter).option("header", header).option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(temp)
     elif form == "JSON":
-        writer.json(temp)
+        df.write.json(temp)
     elif form == "PARQUET":
-        writer.parquet(temp)
+        df.write.parquet(temp)
     else:
         raise ValueError(f"unsupported export format {form}")
     system = hadoop(temp).getFileSystem(conf)
-    parts = sorted(s.getPath().toString() for s in system.listStatus(hadoop(temp)) if s.getPath().getName().startswith("part-"))
-    out = []
-    for i, part in enumerate(parts):
-        target = hadoop(f"{before}{i:012d}{after}")
-        if system.exists(target):
-            if not overwrite:
-                raise FileExistsError(target.toString())
-            system.delete(target, False)
-        system.rename(hadoop(part), target)
-        out.append(target.toString())
-    system.delete(hadoop(temp), True)
-    return out
+    try:
+        parts = sorted(s.getPath().toString() for s in system.listStatus(hadoop(temp)) if s.getPath().getName().startswith("part-"))
+        targets = [hadoop(f"{before}{i:012d}{after}") for i in range(len(parts))]
+        if not overwrite and (there := [t.toString() for t in targets if system.exists(t)]):
+            raise FileExistsError(there[0])
+        for part, target in zip(parts, targets, strict=True):
+            if system.exists(target):
+                system.delete(target, False)
+            if not system.rename(hadoop(part), target):
+                raise OSError(f"{target.toString()} could not be made")
+    finally:
+        system.delete(hadoop(temp), True)
+    return [t.toString() for t in targets]

@@ -37,3 +37,28 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a staged table that nothing reads any more, through Hadoop's file systems."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, renamed into place, so that a reader finds the old text or the new one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    context = hadoop.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(beside, place, options)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return None
+    return "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
