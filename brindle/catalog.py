@@ -123,7 +123,7 @@ class Catalog:
             raise ValueError(f"{name!r} has more than three parts")
         if len(parts) == 1 and not self.dataset:
             raise ValueError(f"{name!r} needs a dataset")
-        return ((self.project, self.dataset, *parts)[-3:]) if len(parts) < 3 else tuple(parts)
+        return (*(self.project, self.dataset)[: 3 - len(parts)], *parts)
 
     def database(self, project: str, dataset: str) -> str:
         """One name for each pair: characters but a-z and 0-9 are written as their code between underscores, and 0 parts the two."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import functions as G
+from ..operators.relational import first_of_group, group_percentiles
 from . import query
 
 
@@ -69,8 +70,9 @@ def stats(t, spark):
 
 @query("""SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 4) AS median, quantile_disc(o_totalprice, 0.9) AS p90 FROM orders GROUP BY 1""")
 def percentile(t, spark):
-    p90 = F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY o_totalprice)")
-    return t("orders").groupBy("o_orderstatus").agg(_r(F.percentile("o_totalprice", 0.5), 4, "median"), p90.alias("p90"))
+    """Exact at any number of values in a group: counts of distinct values, numbered range by range."""
+    found = group_percentiles(t("orders"), "o_orderstatus", "o_totalprice", [0.5, 0.9])
+    return found.select("o_orderstatus", _r(F.get("cont", F.lit(0)), 4, "median"), F.get("disc", F.lit(1)).alias("p90"))
 
 
 @query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS names FROM nation GROUP BY 1")
@@ -80,8 +82,10 @@ def string_agg_ordered(t, spark):
 
 @query("""SELECT o_custkey, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderdate, o_orderkey), 1, 3), ',') AS first3 FROM orders GROUP BY 1""")
 def array_agg_ordered(t, spark):
-    keys = G.array_agg(F.col("o_orderkey"), F.struct("o_orderdate", "o_orderkey"), limit=3)
-    return t("orders").groupBy("o_custkey").agg(F.array_join(F.transform(keys, lambda x: x.cast("string")), ",").alias("first3"))
+    """The limit goes first: each task keeps three rows of a group, and only those are gathered."""
+    first = first_of_group(t("orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], 3, "o_orderdate", "o_orderkey")
+    keys = G.array_agg(F.col("o_orderkey"), F.col("place"))
+    return first.groupBy("o_custkey").agg(F.array_join(F.transform(keys, lambda x: x.cast("string")), ",").alias("first3"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS least FROM orders GROUP BY 1")
@@ -116,23 +120,53 @@ def unpivot(t, spark):
     return t("supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("nation"), F.col("s_acctbal").alias("balance")).unpivot("s_suppkey", ["nation", "balance"], "what", "v")
 
 
-@query()
+@query("SELECT count(DISTINCT l_partkey) AS parts, true AS hll_near, true AS sketch_near FROM lineitem")
 def approx_distinct(t, spark):
-    return t("lineitem").agg(F.approx_count_distinct("l_partkey").alias("hll"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("sketch"))
+    """Two sketches beside the exact count, each within four standard errors of it."""
+    found = t("lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.05).alias("hll"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 12)).alias("sketch"))
+    near = lambda c, error: F.abs(F.col(c) - F.col("parts")) <= 4 * error * F.col("parts")
+    return found.select("parts", near("hll", 0.05).alias("hll_near"), near("sketch", 0.0163).alias("sketch_near"))
 
 
-@query()
+@query("SELECT l_returnflag, bound, true AS near FROM (SELECT DISTINCT l_returnflag FROM lineitem), (SELECT unnest([0, 1, 2, 3, 4]) AS bound)")
 def approx_quantiles(t, spark):
-    return t("lineitem").groupBy("l_returnflag").agg(G.approx_quantiles(F.col("l_extendedprice"), 4).alias("q"))
+    """Each bound of the sketch has about its share of rows below it: within twice the sketch's 1/accuracy, but for ties."""
+    rows = t("lineitem").select("l_returnflag", "l_extendedprice")
+    sketch = rows.groupBy("l_returnflag").agg(G.approx_quantiles(F.col("l_extendedprice"), 4, 1000).alias("q"))
+    both = rows.join(sketch, "l_returnflag")
+    below = [F.sum((F.col("l_extendedprice") < F.get("q", F.lit(i))).cast("long")).alias(f"b{i}") for i in range(5)]
+    upto = [F.sum((F.col("l_extendedprice") <= F.get("q", F.lit(i))).cast("long")).alias(f"u{i}") for i in range(5)]
+    counts = both.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *below, *upto)
+    near = lambda i: (F.col(f"b{i}") <= F.col("n") * (i / 4 + 0.002) + 1) & (F.col(f"u{i}") >= F.col("n") * (i / 4 - 0.002) - 1)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("bound"), near(i).alias("near")) for i in range(5)])).alias("x")
+    return counts.select("l_returnflag", each).select("l_returnflag", "x.bound", "x.near")
+
+
+@query("SELECT l_returnflag AS item, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, item LIMIT 2")
+def approx_top(t, spark):
+    """APPROX_TOP_COUNT: exact while the distinct items fit the sketch."""
+    top = t("lineitem").agg(F.explode(F.expr("approx_top_k(l_returnflag, 2)")).alias("x"))
+    return top.select("x.item", F.col("x.count").alias("n"))
 
 
-@query()
-def approx_top(t, spark):
-    return t("lineitem").agg(F.expr("approx_top_k(l_partkey, 5)").alias("top"))
+@query("SELECT l_suppkey AS item, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1 ORDER BY sum(l_quantity) DESC, item LIMIT 3")
+def approx_top_sum(t, spark):
+    """APPROX_TOP_SUM, exactly: sums by item, of which each task keeps three."""
+    sums = t("lineitem").groupBy(F.col("l_suppkey").alias("item")).agg(F.sum("l_quantity").alias("s"))
+    return sums.orderBy(F.desc("s"), "item").limit(3).select("item", _r(F.col("s"), 2, "total"))
 
 
-@query()
+@query("SELECT count(DISTINCT user_id) AS users, true AS near FROM events")
 def hll_merge(t, spark):
-    """Sketches by day, merged: what a rollup table would hold."""
+    """Sketches by day, merged, as a rollup table would hold them, beside the exact count."""
     day = t("events").groupBy(F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id").alias("sketch"))
-    return day.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+    sketch = day.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"))
+    exact = t("events").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(F.broadcast(sketch)).select("users", (F.abs(F.col("about") - F.col("users")) <= 0.07 * F.col("users")).alias("near"))  # one row each
+
+
+@query("SELECT o_custkey, round(exp(avg(ln(o_totalprice))), 4) AS mean FROM orders GROUP BY 1")
+def udaf(t, spark):
+    """A user's aggregate as a function of columns: mergeable parts, combined before the shuffle."""
+    geometric = lambda c: F.exp(F.avg(F.ln(c)))
+    return t("orders").groupBy("o_custkey").agg(_r(geometric(F.col("o_totalprice")), 4, "mean"))

@@ -24,9 +24,10 @@ def right_join(t, spark):
     return t("customer").where("c_acctbal > 5000").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "right").select("o_orderkey", "c_name")
 
 
-@query("""SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey <= 120) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey >= 50) ON c_custkey = s_suppkey""")
+@query("""SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 100000) ON c_custkey = o_custkey""")
 def full_outer(t, spark):
-    return t("customer").where("c_custkey <= 120").join(t("supplier").where("s_suppkey >= 50"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    """Customers in credit and large orders: either side has rows alone."""
+    return t("customer").where("c_acctbal > 0").join(t("orders").where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_orderkey")
 
 
 @query("""SELECT nation, balance, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS nation, c_acctbal AS balance, count(*) AS n FROM customer GROUP BY 1, 2) c
@@ -56,9 +57,8 @@ def anti_not_exists(t, spark):
 @query("SELECT count(*) AS n FROM supplier WHERE s_nationkey NOT IN (SELECT nullif(c_nationkey, 3) FROM customer WHERE c_acctbal > 9900)")
 def not_in_null(t, spark):
     """Null-aware anti join: one null in the list and nothing qualifies."""
-    t("supplier").createOrReplaceTempView("brindle_supplier")
-    t("customer").createOrReplaceTempView("brindle_customer")
-    return spark.sql("SELECT count(*) AS n FROM brindle_supplier WHERE s_nationkey NOT IN (SELECT nullif(c_nationkey, 3) FROM brindle_customer WHERE c_acctbal > 9900)")
+    text = "SELECT count(*) AS n FROM {supplier} WHERE s_nationkey NOT IN (SELECT nullif(c_nationkey, 3) FROM {customer} WHERE c_acctbal > 9900)"
+    return spark.sql(text, supplier=t("supplier"), customer=t("customer"))
 
 
 @query("""SELECT p_partkey, b.name FROM part JOIN (VALUES ('low', 0, 10), ('mid', 10, 30), ('high', 30, 100)) b(name, lo, hi) ON p_size >= lo AND p_size < hi""")
@@ -95,11 +95,10 @@ def interval_events(t, spark):
     return interval_join(a, b, ["user_id"], "at", "ts", 7200).select("click", "buy")
 
 
-@query("""SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 200 AND o_totalprice < p_retailprice * 200 + 500
-WHERE p_partkey <= 500""")
+@query("""SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 200 AND o_totalprice < p_retailprice * 200 + 25""")
 def range_price(t, spark):
-    spans = t("part").where("p_partkey <= 500").select("p_partkey", (F.col("p_retailprice") * 200).alias("lo"), (F.col("p_retailprice") * 200 + 500).alias("hi"))
-    return range_join(t("orders").select("o_orderkey", "o_totalprice"), spans, "o_totalprice", "lo", "hi", 500.0).select("o_orderkey", "p_partkey")
+    spans = t("part").select("p_partkey", (F.col("p_retailprice") * 200).alias("lo"), (F.col("p_retailprice") * 200 + 25).alias("hi"))
+    return range_join(t("orders").select("o_orderkey", "o_totalprice"), spans, "o_totalprice", "lo", "hi", 25.0).select("o_orderkey", "p_partkey")
 
 
 @query("""SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 200 AND o_totalprice < p_retailprice * 200 + 5""")
@@ -129,3 +128,31 @@ def scalar_correlated(t, spark):
 def lateral_top1(t, spark):
     best = t("orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(-F.col("o_totalprice"), "o_orderkey")).alias("o_orderkey"))
     return t("customer").join(best, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey")
+
+
+@query("""SELECT e.event_id, c.event_id AS right_event_id FROM (SELECT event_id, ts, nullif(user_id, 3) AS user_id FROM events) e
+ASOF LEFT JOIN (SELECT event_id, ts, nullif(user_id, 3) AS user_id FROM events WHERE event_type = 'click') c ON e.user_id = c.user_id AND e.ts >= c.ts""")
+def asof_null_keys(t, spark):
+    """A null key has no latest row."""
+    rows = t("events").select("event_id", "ts", F.nullif(F.col("user_id"), F.lit(3)).alias("user_id"), "event_type")
+    clicks = rows.where("event_type = 'click'").drop("event_type")
+    return asof_join(rows.drop("event_type"), clicks, ["user_id"], "ts", "ts", ["event_id"]).select("event_id", "right_event_id")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders) AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49)""")
+def subqueries(t, spark):
+    """Scalar and correlated subqueries as written: Catalyst makes an aggregate and a semi join of them."""
+    text = """SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM {orders})
+        AND EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_quantity >= 49)"""
+    return spark.sql(text, orders=t("orders"), lineitem=t("lineitem"))
+
+
+@query("SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer")
+def scalar_subquery(t, spark):
+    return spark.sql("SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS top FROM {customer}", orders=t("orders"), customer=t("customer"))
+
+
+@query("SELECT n_name, s.n, s.best FROM nation, LATERAL (SELECT count(*) AS n, max(s_acctbal) AS best FROM supplier WHERE s_nationkey = n_nationkey) s")
+def lateral(t, spark):
+    text = "SELECT n_name, s.n, s.best FROM {nation}, LATERAL (SELECT count(*) AS n, max(s_acctbal) AS best FROM {supplier} WHERE s_nationkey = n_nationkey) s"
+    return spark.sql(text, nation=t("nation"), supplier=t("supplier"))

@@ -62,7 +62,29 @@ def compound_predicate(t, spark):
     return joined.where(F.col("r_name").like("A%") | F.col("n_name").like("%1")).select("n_name", "r_name")
 
 
-@query()
+@query("SELECT count(*) AS n, true AS near, 0::BIGINT AS strange FROM orders")
 def table_sample(t, spark):
-    """Sampling: a Bernoulli sample by row (no SQL of another engine draws the same rows)."""
-    return t("orders").sample(fraction=0.1, seed=42).select("o_orderkey")
+    """Sampling: a Bernoulli sample by row, within five standard deviations of a tenth, all of whose rows are the table's."""
+    rows = t("orders").select("o_orderkey")
+    drawn = rows.sample(fraction=0.1, seed=42)
+    strange = drawn.join(rows, "o_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("strange"))
+    counts = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(drawn.agg(F.count(F.lit(1)).alias("m")))).join(F.broadcast(strange))  # one row each
+    return counts.select("n", (F.abs(F.col("m") - 0.1 * F.col("n")) <= 5 * F.sqrt(0.09 * F.col("n"))).alias("near"), "strange")
+
+
+@query("SELECT p_partkey FROM part WHERE (p_type LIKE 'S%' OR p_type LIKE '%a%') AND p_name LIKE '%a%' AND p_name LIKE '%e%'")
+def like_any_all(t, spark):
+    return spark.sql("SELECT p_partkey FROM {part} WHERE p_type LIKE ANY ('S%', '%a%') AND p_name LIKE ALL ('%a%', '%e%')", part=t("part"))
+
+
+@query("SELECT s_suppkey AS k, s_acctbal * 2 AS twice FROM supplier WHERE s_acctbal > 0")
+def select_as_struct(t, spark):
+    """SELECT AS STRUCT makes one column of a row, SELECT AS VALUE takes its fields apart again."""
+    one = t("supplier").where("s_acctbal > 0").select(F.struct(F.col("s_suppkey").alias("k"), (F.col("s_acctbal") * 2).alias("twice")).alias("value"))
+    return one.select("value.*")
+
+
+@query("SELECT c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 0 GROUP BY 1 HAVING count(*) > 2")
+def pipe_syntax(t, spark):
+    text = """FROM {customer} |> WHERE c_acctbal > 0 |> AGGREGATE count(*) AS n, round(sum(c_acctbal), 2) AS total GROUP BY c_nationkey AS nation |> WHERE n > 2"""
+    return spark.sql(text, customer=t("customer"))

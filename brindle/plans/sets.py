@@ -42,10 +42,9 @@ def except_distinct(t, spark):
     return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select("o_custkey"))
 
 
-@query("SELECT o_orderpriority AS p FROM orders WHERE o_orderkey <= 400 EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderkey <= 300")
+@query("SELECT c_nationkey AS n FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 def except_all(t, spark):
-    p = lambda n: t("orders").where(F.col("o_orderkey") <= n).select(F.col("o_orderpriority").alias("p"))
-    return p(400).exceptAll(p(300))
+    return t("customer").select(F.col("c_nationkey").alias("n")).exceptAll(t("supplier").select("s_nationkey"))
 
 
 @query("SELECT o_orderpriority AS p FROM orders EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
@@ -67,10 +66,10 @@ def union_by_name(t, spark):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("""SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS place
-FROM orders WHERE o_orderkey <= 200 ORDER BY place""")
+@query("""SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_mktsegment, 'BUILDING') DESC NULLS FIRST, c_custkey) AS place FROM customer ORDER BY place""")
 def nulls_order(t, spark):
-    return by_status(t("orders").where("o_orderkey <= 200"))
+    rows = t("customer").select("c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment"))
+    return places(rows, F.desc_nulls_first("segment"), F.asc("c_custkey")).select("c_custkey", "place").orderBy("place")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS place FROM orders ORDER BY place")

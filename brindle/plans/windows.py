@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.relational import qualify
+from ..operators.relational import places, qualify, ranked
 from . import query
 
 
@@ -21,11 +21,10 @@ def row_number_top_n(t, spark):
 @query("""SELECT s_suppkey, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c
 FROM supplier WINDOW w AS (ORDER BY s_nationkey)""")
 def rank_dense(t, spark):
-    w = Window.orderBy("s_nationkey")
-    return t("supplier").select(
-        "s_suppkey", F.rank().over(w).cast("bigint").alias("r"), F.dense_rank().over(w).cast("bigint").alias("d"),
-        F.round(F.percent_rank().over(w), 9).alias("p"), F.round(F.cume_dist().over(w), 9).alias("c"),
-    )
+    """Ranks over a whole table: distinct values are numbered range by range and joined back."""
+    rows, rank = ranked(t("supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey")), F.col("rank")
+    p = F.when(F.col("_rows") > 1, (rank - 1) / (F.col("_rows") - 1)).otherwise(F.lit(0.0))
+    return rows.select("s_suppkey", rank.alias("r"), F.col("dense_rank").alias("d"), F.round(p, 9).alias("p"), F.round((rank - 1 + F.col("_ties")) / F.col("_rows"), 9).alias("c"))
 
 
 @query("""SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2, -1) OVER w AS after2 FROM orders
@@ -50,7 +49,11 @@ def moving_avg_range_interval(t, spark):
 
 @query("SELECT c_custkey, ntile(7) OVER (ORDER BY c_acctbal, c_custkey) AS tile FROM customer")
 def ntile(t, spark):
-    return t("customer").select("c_custkey", F.ntile(7).over(Window.orderBy("c_acctbal", "c_custkey")).cast("bigint").alias("tile"))
+    """Tiles from places in the whole order: the first tiles take one row more where the rows do not divide."""
+    rows = places(t("customer").select("c_custkey", "c_acctbal"), F.asc("c_acctbal"), F.asc("c_custkey"))
+    many = t("customer").agg(F.count(F.lit(1)).alias("n"))  # one row
+    tile = F.expr("CASE WHEN place <= (n % 7) * (n div 7 + 1) THEN (place - 1) div (n div 7 + 1) + 1 ELSE n % 7 + (place - 1 - (n % 7) * (n div 7 + 1)) div greatest(n div 7, 1) + 1 END")
+    return rows.join(F.broadcast(many)).select("c_custkey", tile.alias("tile"))
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS last_buy,

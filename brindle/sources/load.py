@@ -136,11 +136,11 @@ def load_csv(
             out.append((value if kind == "STRING" else value.try_cast(dict(DETECTED)[kind])).alias(name))
         return rows.select(*out)
     fields = schema_of(specs).fields
-    misfits = [c.isNotNull() & c.try_cast(f.dataType).isNull() for c, f in zip(texts, fields, strict=True)]
-    anything = functools.reduce(Column.__or__, misfits, F.col("_bad"))
-    counts = every.agg(raw, F.count_if(anything).alias("all"), F.count_if("_bad").alias("wide"), *[F.count_if(m).alias(f"m{i}") for i, m in enumerate(misfits)]).first()
+    misfits = {f.name: c.isNotNull() & c.try_cast(f.dataType).isNull() for c, f in zip(texts, fields, strict=True) if not isinstance(f.dataType, T.StringType)}
+    anything = F.col("_bad") | F.array_contains(F.array(F.lit(False), *misfits.values()), True)
+    counts = every.agg(raw, F.count_if(anything).alias("all"), F.count_if("_bad").alias("wide"), *[F.count_if(m).alias(f"m_{n}") for n, m in misfits.items()]).first()
     if counts["all"] > max_bad:
-        values = {f.name: counts[f"m{i}"] for i, f in enumerate(fields) if counts[f"m{i}"]}
+        values = {n: counts[f"m_{n}"] for n in misfits if counts[f"m_{n}"]}
         raise BadRows(f"{counts['wide']} rows have another number of fields than expected; values that do not fit their types: {values}")
     kept = every if not counts["all"] else every.where(~anything)
     return kept.select(*[c.try_cast(f.dataType).alias(f.name, metadata=f.metadata) for c, f in zip(texts, fields, strict=True)])
