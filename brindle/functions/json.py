@@ -29,6 +29,39 @@ def json_query_array(text: Column, path: str = "$") -> Column:
 json_value_array = json_query_array
 
 
+def json_type(text: Column, path: str = "$") -> Column:
+    """JSON_TYPE: object, array, string, number, boolean or null; null for no value."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+    letters = F.regexp_extract(kind, "^[A-Z]+", 0)
+    names = F.when(letters == "OBJECT", "object").when(letters == "ARRAY", "array").when(letters == "STRING", "string").when(letters == "BOOLEAN", "boolean")
+    names = names.when(letters.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), "number")
+    return names.when(letters == "VOID", "null")
+
+
+def lax_bool(text: Column) -> Column:
+    """LAX_BOOL: booleans, their texts in any case, and numbers (0 is false); null for all else."""
+    word = F.lower(F.btrim(text, F.lit('"')))
+    return F.when(word == "true", True).when(word == "false", False).otherwise(F.when(~text.startswith('"'), text.try_cast("double") != 0))
+
+
+def lax_float64(text: Column) -> Column:
+    """LAX_FLOAT64: numbers and texts of numbers; null for all else."""
+    return F.btrim(text, F.lit('"')).try_cast("double")
+
+
+def lax_int64(text: Column) -> Column:
+    """LAX_INT64: numbers and texts of numbers, rounded half away from zero, and booleans as 1 and 0; null for all else."""
+    number = lax_float64(text)
+    whole = F.btrim(text, F.lit('"')).try_cast("bigint")
+    rounded = F.floor(F.abs(number) + 0.5) * F.sign(number)
+    return F.when(text == "true", F.lit(1)).when(text == "false", F.lit(0)).otherwise(F.coalesce(F.when(~text.contains("."), whole), rounded.try_cast("bigint")))
+
+
+def lax_string(text: Column) -> Column:
+    """LAX_STRING: texts without their quotes, numbers and booleans as they are written; null for objects, arrays and null."""
+    return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")).when(~text.rlike(r"^\s*[\[{]") & (text != "null"), text)
+
+
 def json_keys_sorted(text: Column) -> Column:
     return F.sort_array(F.json_object_keys(text))
 

@@ -64,3 +64,15 @@ def range_bucket(x: Column, bounds: Column) -> Column:
 def numeric(x: Column) -> Column:
     """Back to NUMERIC's scale after arithmetic, whose scale Spark changes."""
     return x.cast("decimal(38,9)")
+
+
+def parse_numeric(text: Column) -> Column:
+    """PARSE_NUMERIC: a sign before or after the number, spaces around both and commas among the digits are allowed; an error for all else."""
+    plain = F.regexp_replace(text, r"[\s,]", "")
+    moved = F.regexp_replace(plain, r"^([^+-]+)([+-])$", "$2$1")
+    return moved.cast("decimal(38,9)")
+
+
+def cast_format(value: Column, pattern: str) -> Column:
+    """CAST(number AS STRING FORMAT pattern), for patterns of digits, commas, a point, a sign and a currency sign."""
+    return F.to_char(value, F.lit(pattern))

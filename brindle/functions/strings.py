@@ -78,3 +78,17 @@ def normalize(text: Column, form: str = "NFC", casefold: bool = False) -> Column
         return s.map(one, na_action="ignore")
 
     return normal(text)
+
+
+def net_host(url: Column) -> Column:
+    """NET.HOST: the host of a URL with a scheme, or with two slashes or nothing before it, in the case it is written; null without one."""
+    rest = F.regexp_replace(F.trim(url), r"^([A-Za-z][A-Za-z0-9+.-]*:)?//", "")
+    bare = F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*", 0), r"^.*@|:[0-9]*$", "")
+    return F.nullif(bare, F.lit(""))
+
+
+def net_ip_from_string(text: Column) -> Column:
+    """NET.IP_FROM_STRING of an IPv4 address: four bytes; null for other texts (SAFE form)."""
+    part = lambda i: F.lpad(F.hex(F.split_part(text, F.lit("."), F.lit(i)).cast("int")), 2, "0")
+    digits = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    return F.when(text.rlike(rf"^{digits}(\.{digits}){{3}}$"), F.unhex(F.concat(*[part(i) for i in (1, 2, 3, 4)])))

@@ -98,3 +98,37 @@ def cast_fns(t, spark):
 @query("SELECT p_partkey, (list_sum(list_transform([0, 10, 20, 30, 40], lambda b: (b <= p_size)::INT)))::BIGINT AS bucket FROM part")
 def range_bucket(t, spark):
     return t("part").select("p_partkey", G.range_bucket(F.col("p_size"), F.array(*[F.lit(x) for x in (0, 10, 20, 30, 40)])).alias("bucket"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'string' WHEN 3 THEN 'number' WHEN 4 THEN 'boolean' ELSE 'null' END AS kind,
+    CASE json_type(props -> 'k') WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' END AS of_k FROM events""")
+def json_types(t, spark):
+    pick = F.element_at(F.array(*[F.lit(x) for x in ('{"a": 1}', "[1]", '"x"', "2.5", "true", "null")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return t("events").select("event_id", G.json_type(pick).alias("kind"), G.json_type(F.col("props"), "$.k").alias("of_k"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_id END AS i, CASE event_id % 4 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN event_id::DOUBLE END AS d,
+    CASE event_id % 4 WHEN 0 THEN event_id <> 0 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE NULL END AS b,
+    CASE event_id % 4 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN event_id::VARCHAR WHEN 2 THEN 'word' END AS s FROM events""")
+def lax_fns(t, spark):
+    n = F.col("event_id").cast("string")
+    text = F.when(F.col("event_id") % 4 == 0, n).when(F.col("event_id") % 4 == 1, F.concat(F.lit('"'), n, F.lit('"'))).when(F.col("event_id") % 4 == 2, F.lit('"word"')).otherwise(F.lit("[1]"))
+    return t("events").select("event_id", G.lax_int64(text).alias("i"), G.lax_float64(text).alias("d"), G.lax_bool(text).alias("b"), G.lax_string(text).alias("s"))
+
+
+@query("""SELECT s_suppkey, (-round(abs(s_acctbal), 2))::DECIMAL(38, 9) AS n, 'host' || s_suppkey || '.example.org' AS host, (s_suppkey % 256)::BIGINT AS last, NULL::VARCHAR AS bad FROM supplier""")
+def net_and_numeric_fns(t, spark):
+    k = F.col("s_suppkey").cast("string")
+    number = F.concat(F.lit(" "), F.format_number(F.abs("s_acctbal"), 2), F.lit(" - "))
+    ip = G.net_ip_from_string(F.concat(F.lit("10.0.0."), (F.col("s_suppkey") % 256).cast("string")))
+    url = F.concat(F.lit("https://me@host"), k, F.lit(".example.org:80/a?b#c"))
+    return t("supplier").select(
+        "s_suppkey", G.parse_numeric(number).alias("n"), G.net_host(url).alias("host"), F.conv(F.right(F.hex(ip), F.lit(2)), 16, 10).cast("bigint").alias("last"),
+        F.hex(G.net_ip_from_string(F.concat(F.lit("300.1.1."), k))).alias("bad"),
+    )
+
+
+@query("SELECT p_partkey, printf('%.2f', p_retailprice) AS price FROM part")
+def cast_format_fns(t, spark):
+    price = F.col("p_retailprice").cast("decimal(12,2)")
+    return t("part").select("p_partkey", F.trim(G.cast_format(price, "9999990.99")).alias("price"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from brindle.catalog import Catalog
 from brindle.operators.relational import asof_join, interval_join, range_join, salted_join
 from brindle.streaming.sinks import into_table
-from brindle.streaming.windows import first_within, sessions, tumbling
+from brindle.streaming.state import visits
+from brindle.streaming.windows import first_within, joined_streams, sessions, tumbling
 
 
 def stream(spark, folder, name="events"):
@@ -42,6 +43,27 @@ def test_dedup_and_sink(spark, folder, tmp_path):
     c.drop_dataset("streams", delete_contents=True)
 
 
+def test_state_of_keys(spark, folder):
+    """Open visits hold all rows of a user; a late row's watermark closes those that are over."""
+    table = spark.read.parquet(f"{folder}/events.parquet")
+    got = run(spark, visits(stream(spark, folder), "user_id", "ts", "value", "1 day", "1 hour"), "update", "s_visits")
+    last = {}
+    for r in got.collect():
+        last.setdefault(r.user_id, []).append(r)
+    want = {r.user_id: (r.n, r.total) for r in table.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()}
+    assert {u: max(r.n for r in rows) for u, rows in last.items()} == {u: n for u, (n, _) in want.items()}
+    assert all(abs(max(rows, key=lambda r: r.n).total - want[u][1]) < 1e-6 for u, rows in last.items())
+
+
+def test_streams_join(spark, folder):
+    table = spark.read.parquet(f"{folder}/events.parquet")
+    of = lambda d, kind, name: d.where(F.col("event_type") == kind).select("user_id", F.col("ts").alias(f"{name}_ts"), F.col("event_id").alias(name))
+    both = joined_streams(of(stream(spark, folder), "click", "a"), of(stream(spark, folder), "purchase", "b"), "user_id", "a_ts", "b_ts", 7200, "1 hour")
+    got = {(r.a, r.b) for r in run(spark, both.select("a", "b"), "append", "s_join").collect()}
+    want = interval_join(of(table, "click", "a"), of(table, "purchase", "b"), ["user_id"], "a_ts", "b_ts", 7200)
+    assert got == {(r.a, r.b) for r in want.collect()} and got
+
+
 def test_joins(spark):
     left = spark.createDataFrame([(1, 10, "a"), (1, 5, "b"), (2, 1, "c"), (None, 3, "d")], "k int, t int, x string")
     right = spark.createDataFrame([(1, 4, "p"), (1, 10, "q"), (2, 2, "r")], "k int, t int, y string")
