@@ -19,6 +19,7 @@ if another id is there; an empty table gives an empty table; columns other than
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import components, staged
 
 #: Classes of a leaf of the distributed tree; children of a node; levels, after which large leaves are cut by hash; classes that visit a task; members of a leaf in a task.
-PART, FAN, LEVELS, VISITORS, LEAF = 1024, 64, 12, 8192, 16
+PART, FAN, LEVELS, VISITORS, LEAF = 4096, 64, 12, 8192, 16
+#: Classes of one cover tree of a task.
+TREE = 1024
 #: Slack of bounds against rounding.
 EPS = 1e-7
 
@@ -75,7 +78,7 @@ class CoverTree:
 
     def _covered(self, members: np.ndarray, cover: float) -> Iterator[tuple[int, np.ndarray]]:
         points, left = self.x[members], np.arange(len(members))
-        near = 2 - 2 * points @ points.T <= cover * cover  # a tree has PART members at most
+        near = 2 - 2 * points @ points.T <= cover * cover  # a tree has TREE members at most
         np.fill_diagonal(near, True)
         while len(left):
             own = near[left[0], left]
@@ -123,14 +126,14 @@ def dual_traversal(s: CoverTree, t: CoverTree, least: float) -> Iterator[tuple[n
 def linked(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(linked weight of each of x, that of each of y, component of each of both) of links between x and y, whose weights are of_x and of_y.
 
-    Components are numbered by a member's place, y after x.  y is cut into trees of PART members.
+    Components are numbered by a member's place, y after x.  Both are cut into trees of TREE members.
     """
     count, other, root = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.arange(len(x) + len(y))
     ends: list[np.ndarray] = []
-    tree = CoverTree(x)
-    for at in range(0, len(y), PART):
-        for a, b, hit in dual_traversal(tree, CoverTree(y[at : at + PART]), least):
-            b = b + at
+    trees = [[(at, CoverTree(z[at : at + TREE])) for at in range(0, len(z), TREE)] for z in (x, y)]
+    for (i, s), (j, t) in itertools.product(*trees):
+        for a, b, hit in dual_traversal(s, t, least):
+            a, b = a + i, b + j
             if hit is None:
                 count[a] += of_y[b].sum()
                 other[b] += of_x[a].sum()
@@ -139,8 +142,8 @@ def linked(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, lea
             else:
                 count[a] += hit @ of_y[b]
                 other[b] += of_x[a] @ hit
-                i, j = np.nonzero(hit)
-                ends.append(np.stack([a[i], b[j] + len(x)]))
+                p, q = np.nonzero(hit)
+                ends.append(np.stack([a[p], b[q] + len(x)]))
     if ends:
         u, v = np.concatenate(ends, axis=1)
         while True:  # least label of neighbours, then of the label's own label
