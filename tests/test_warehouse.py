@@ -52,18 +52,18 @@ def test_csv(spark, tmp_path):
         p.write_text(text)
         return str(p)
 
-    found = load_csv(spark, file("id,name,score\n1,alice,9.5\n2,bob,8\n"), autodetect=True, skip=1)
-    assert [t for _, t in found.dtypes] == ["bigint", "string", "double"] and rows(found) == [(1, "alice", 9.5), (2, "bob", 8.0)]
-    assert rows(load_csv(spark, file("name;age\nAlice;30\nBob;41\n"), autodetect=True, delimiter=";")) == [("Alice", 30), ("Bob", 41)]
-    spec = [{"name": "Name", "type": "STRING"}, {"name": "Age", "type": "INT64"}]
-    assert rows(load_csv(spark, file("Alice,30\nBob,41\n"), spec)) == [("Alice", 30), ("Bob", 41)]
-    assert rows(load_csv(spark, file("age,name\n30,Alice\n"), spec)) == [("Alice", 30)]
-    assert rows(load_csv(spark, file("description only\nAlice,30\n"), spec, skip=1)) == [("Alice", 30)]
-    assert load_csv(spark, file("Alice,30\nBob\n"), spec, jagged=True).where("name = 'Bob'").first()[1] is None
+    found = load_csv(spark, file("id,name,weight\n1,wren,2.25\n2,kite,6\n"), autodetect=True, skip=1)
+    assert [t for _, t in found.dtypes] == ["bigint", "string", "double"] and rows(found) == [(1, "wren", 2.25), (2, "kite", 6.0)]
+    assert rows(load_csv(spark, file("keeper;years\nMona;51\nTariq;17\n"), autodetect=True, delimiter=";")) == [("Mona", 51), ("Tariq", 17)]
+    spec = [{"name": "Keeper", "type": "STRING"}, {"name": "Years", "type": "INT64"}]
+    assert rows(load_csv(spark, file("Mona,51\nTariq,17\n"), spec)) == [("Mona", 51), ("Tariq", 17)]
+    assert rows(load_csv(spark, file("years,keeper\n51,Mona\n"), spec)) == [("Mona", 51)]
+    assert rows(load_csv(spark, file("measured in spring\nMona,51\n"), spec, skip=1)) == [("Mona", 51)]
+    assert load_csv(spark, file("Mona,51\nTariq\n"), spec, jagged=True).where("keeper = 'Tariq'").first()[1] is None
     with pytest.raises(BadRows):
-        load_csv(spark, file("Alice,30\nBadOnly\n"), spec)
+        load_csv(spark, file("Mona,51\nLonely\n"), spec)
     with pytest.raises(BadRows):
-        load_csv(spark, file("Alice,30,x\n"), spec, jagged=True)
+        load_csv(spark, file("Mona,51,x\n"), spec, jagged=True)
     quoted = load_csv(spark, file('a,b\n"x, ""y""",true\nnull,false\n'), autodetect=True)
     assert quoted.dtypes == [("a", "string"), ("b", "boolean")] and rows(quoted.where("b")) == [('x, "y"', True)]
     with pytest.raises(ValueError):
@@ -73,27 +73,27 @@ def test_csv(spark, tmp_path):
 
 
 def test_ndjson_and_extract(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"ID":1,"Name":"John","more":1}\n{"id":2,"name":"Joan"}\n')
+    (tmp_path / "a.json").write_text('{"ID":1,"Name":"Olga","more":1}\n{"id":2,"name":"Pavel"}\n')
     df = load_ndjson(spark, str(tmp_path / "a.json"), PEOPLE)
-    assert rows(df) == [(1, "John"), (2, "Joan")]
+    assert rows(df) == [(1, "Olga"), (2, "Pavel")]
     extract(df, str(tmp_path / "csv"), header=True)
     text = "".join(open(f).read() for f in glob.glob(f"{tmp_path}/csv/*.csv"))
-    assert text.startswith("id,name\n") and "2,Joan" in text
+    assert text.startswith("id,name\n") and "2,Pavel" in text
     extract(df, str(tmp_path / "js"), "NEWLINE_DELIMITED_JSON")
-    assert '{"id":"1","name":"John"}' in "".join(open(f).read() for f in glob.glob(f"{tmp_path}/js/*.json"))
+    assert '{"id":"1","name":"Olga"}' in "".join(open(f).read() for f in glob.glob(f"{tmp_path}/js/*.json"))
     out = export_data(df.coalesce(1), f"{tmp_path}/x-*.json", "JSON")
-    assert len(out) == 1 and out[0].endswith("x-000000000000.json") and '{"id":1,"name":"John"}' in open(f"{tmp_path}/x-000000000000.json").read()
+    assert len(out) == 1 and out[0].endswith("x-000000000000.json") and '{"id":1,"name":"Olga"}' in open(f"{tmp_path}/x-000000000000.json").read()
     with pytest.raises(ValueError):
         export_data(df, f"{tmp_path}/none.json")
-    assert rows(load(spark, str(tmp_path / "js"), "NEWLINE_DELIMITED_JSON", PEOPLE))[0] == (1, "John")
+    assert rows(load(spark, str(tmp_path / "js"), "NEWLINE_DELIMITED_JSON", PEOPLE))[0] == (1, "Olga")
 
 
 def test_seed(spark):
     document = {"projects": [{"id": "p", "datasets": [{"id": "d", "tables": [{"id": "t", "columns": [
         {"name": "id", "type": "INTEGER", "mode": "REQUIRED"}, {"name": "a", "type": "STRUCT", "mode": "REPEATED", "fields": [{"name": "k", "type": "STRING"}, {"name": "v", "type": "JSON"}]},
-        {"name": "n", "type": "NUMERIC"}, {"name": "born", "type": "DATE"}], "data": [{"ID": 1, "a": [{"k": "x", "v": {"age": 10}}], "n": 3, "born": "2012-01-01"}]}]}]}]}
+        {"name": "n", "type": "NUMERIC"}, {"name": "born", "type": "DATE"}], "data": [{"ID": 1, "a": [{"k": "x", "v": {"depth": 4}}], "n": 3, "born": "1987-09-30"}]}]}]}]}
     r = seed(spark, document)["p.d.t"].first()
-    assert (r.id, r.a[0].v, r.n, r.born) == (1, '{"age":10}', Decimal(3), dt.date(2012, 1, 1))
+    assert (r.id, r.a[0].v, r.n, r.born) == (1, '{"depth":4}', Decimal(3), dt.date(1987, 9, 30))
 
 
 def test_catalog(spark, catalog):
