@@ -219,7 +219,7 @@ def _routed(classes: DataFrame, reach: float) -> DataFrame:
 def _met(leaves: DataFrame, least: float) -> DataFrame:
     """(class, n, root): linked weight of each class in a leaf, and for all classes with a link a member of their component there."""
     sizes = staged(leaves.groupBy("node").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n")), "vectors")
-    parts, others = F.ceil(F.col("homes") / PART).cast("int"), F.ceil(F.col("n") / VISITORS).cast("int")
+    parts, others = F.ceil(F.col("homes") / TREE).cast("int"), F.ceil(F.col("n") / VISITORS).cast("int")  # a tree of its own classes a task
     place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "class"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     joined = leaves.join(sizes, "node").where("homes > 0")

@@ -336,6 +336,7 @@ def plain_links(rows, least=0.98):
 @pytest.mark.parametrize("part", [24, 1024])
 def test_embeddings(spark, part, monkeypatch):
     monkeypatch.setattr(embeddings, "PART", part)
+    monkeypatch.setattr(embeddings, "TREE", part // 3)
     rng = np.random.default_rng(part)
     rows = []
     for k in range(12):
