@@ -152,6 +152,44 @@ def test_keep_one_by_shingles(spark, monkeypatch, part):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want and len(far) > 20
 
 
+@pytest.mark.parametrize("large", [64, 4])
+def test_wide_forest(monkeypatch, large):
+    """The stage's fingerprints at 0.8 are within reach and families bring them together; its components are those of all pairs within reach."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng = np.random.default_rng(3)
+    sets = []
+    for k in range(150):
+        base = rng.integers(0, 1 << 64, 4 + k, dtype=np.uint64)
+        more = [rng.integers(0, 1 << 64, (4 + k) // 4, dtype=np.uint64) for _ in range(12 if k == 60 else 1)]
+        sets += [np.unique(base), *(np.unique(np.concatenate([base, x])) for x in more)]
+    prints, size = np.array([simhash.wide_fingerprint(x) for x in sets]), np.array([len(x) for x in sets])
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 4 * max(size[i], size[j]) <= 5 * min(size[i], size[j]) and np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash.STAGE_REACH]
+    root = simhash.wide_forest(prints, size, None, simhash.STAGE_REACH)
+    assert plain_groups(root) == groups(len(sets), near) and len(near) >= 150
+    assert len(set(simhash.wide_forest(prints, size, None, 0).tolist())) == len(sets)
+    side = rng.random(len(sets)) < 0.5
+    both = [(i, j) for i, j in near if side[i] != side[j]]
+    assert all(root[i] == root[j] for i, j in both)
+    across = plain_groups(simhash.wide_forest(prints, size, side, simhash.STAGE_REACH))
+    assert all(across[i] == across[j] for i, j in both)
+
+
+def plain_groups(root):
+    first = {}
+    return [first.setdefault(int(r), i) for i, r in enumerate(root)]
+
+
+def test_keep_one_gathers_by_fingerprints(spark, monkeypatch):
+    """Near copies are found by the distance of their fingerprints: with a reach of no bit only equal sets are one; parts meet and lose nothing."""
+    monkeypatch.setattr(simhash, "MEET", 16)
+    rng = np.random.default_rng(8)
+    base = [[f"w{i}" for i in rng.integers(0, 3000, 120)] for _ in range(40)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b, "end"]) for b in base] + [" ".join(b).upper() for b in base]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(40))
+    assert sorted(r.doc_id for r in simhash.keep_one(df, reach=0).collect()) == list(range(80))
+
+
 def test_keep_one_by_row(spark, none):
     """Rows that share an id, or have none, are kept or removed for their own texts; ids come first, and of equal rows one stays."""
     a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey")
