@@ -94,15 +94,21 @@ def table_function(t, spark):
 
 @query("SELECT p_partkey, i::INT AS place, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)")
 def udtf(t, spark):
-    """A user's table function, lateral to a table, over Arrow batches; what Spark's own generators can say needs none."""
+    """A user's table function of a table, a whole Arrow batch a call; what Spark's own generators can say needs none."""
 
-    @F.udtf(returnType="place int, word string", useArrow=True)
+    @F.arrow_udtf(returnType="p_partkey bigint, place int, word string")
     class Words:
-        def eval(self, text: str):
-            for i, w in enumerate(text.split(" ")):
-                yield i + 1, w
+        def eval(self, batch):
+            import numpy as np
+            import pyarrow as pa
+            import pyarrow.compute as pc
 
-    return t("part").lateralJoin(Words(F.col("p_name").outer())).select("p_partkey", "place", "word")
+            found = pc.split_pattern(batch.column("p_name"), " ")  # a null name has no words
+            of, n = pc.list_parent_indices(found), pc.list_value_length(found).fill_null(0).to_numpy(zero_copy_only=False)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + 1
+            yield pa.table({"p_partkey": batch.column("p_partkey").take(of), "place": place.astype(np.int32), "word": pc.list_flatten(found)})
+
+    return Words(t("part").select("p_partkey", "p_name").asTable())
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")

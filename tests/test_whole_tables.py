@@ -38,3 +38,17 @@ def test_full_outer_all(spark, folder):
     assert sum(r.customers or 0 for r in rows) == table(spark, folder, "customer").count()
     assert sum(r.suppliers or 0 for r in rows) == table(spark, folder, "supplier").count()
     assert any(r.customers is None for r in rows) and any(r.suppliers is None for r in rows)
+
+
+def test_udtf_batches(spark, tmp_path):
+    """The table function takes whole batches where the rows are read, not a row a call; null names have no words and empty ones one."""
+    names = [None, "", "a", "a  b", "large ring of steel", *[f"part {i}" for i in range(25_000)]]
+    df = spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string")
+    df.repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["udtf"](spark, str(tmp_path))
+    want = [(k, i + 1, w) for k, name in enumerate(names) if name is not None for i, w in enumerate(name.split(" "))]
+    assert sorted(tuple(r) for r in found.collect()) == want and found.columns == ["p_partkey", "place", "word"]
+    spark.createDataFrame([], df.schema).write.parquet(f"{tmp_path}/none/part.parquet")
+    assert QUERIES["udtf"](spark, f"{tmp_path}/none").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "Exchange" not in plan
