@@ -1,5 +1,6 @@
 """Queries that must take whole tables, not subsets by id."""
 
+from brindle.operators.relational import range_join
 from brindle.plans import catalogue
 
 QUERIES, SQL = catalogue()
@@ -52,3 +53,16 @@ def test_udtf_batches(spark, tmp_path):
     assert QUERIES["udtf"](spark, f"{tmp_path}/none").count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPythonUDTF" in plan and "Exchange" not in plan
+
+
+def test_range_join_by_span(spark):
+    """All pairs, also with keys; a span's pairs in a bucket are neighbours, so that a result of many times the tables' size is written small."""
+    points = [(i % 3, i, float(i * 37 % 50)) for i in range(300)]
+    spans = [(i % 3, i, i * 13 % 45 + 0.5, i * 13 % 45 + 10.5) for i in range(60)]
+    p, s = spark.createDataFrame(points, "g int, k int, at double"), spark.createDataFrame(spans, "g int, n int, lo double, hi double")
+    assert range_join(p, s, "at", "lo", "hi", 10.0, ["g"]).columns == ["g", "k", "at", "n", "lo", "hi"]
+    rows = [(r.k, r.n) for r in range_join(p.drop("g"), s.drop("g"), "at", "lo", "hi", 10.0).collect()]
+    assert sorted(rows) == sorted((k, n) for _, k, at in points for _, n, lo, hi in spans if lo <= at < hi)
+    assert sum(a[1] != b[1] for a, b in zip(rows, rows[1:])) < 2 * len(spans)
+    keyed = sorted((r.k, r.n) for r in range_join(p, s, "at", "lo", "hi", 10.0, ["g"]).collect())
+    assert keyed == sorted((k, n) for g, k, at in points for h, n, lo, hi in spans if g == h and lo <= at < hi)
