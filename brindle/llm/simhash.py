@@ -434,8 +434,8 @@ def near_groups(rows: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
     SimHash by pivot distance tables gathers them: a set's fingerprint has WORDS x 64 bits, of which sets at 0.8 differ in 15 to 19 % (39 to 48) and
     unrelated ones in half.  Fingerprints meet by equal distance differences in one of WORDS x FAMILIES families, the largest coordinate difference
     and then the distance discard pairs beyond `reach` bits, and in the gathered groups each set is compared with the others exactly; large
-    groups are split and their parts meet pairwise, as above.  In a simulation a pair at 0.8 is missed less than once in 200,000, and about once in
-    4,400 if its sets have four and five shingles (18.75 %).  Only rows whose hash a sieve of the gathered ones lets through give their shingles again, in the tasks that read them: texts are never shuffled.
+    groups are split and their parts meet pairwise, as above.  Of 200,000 simulated pairs at 0.8 (15.2 % of random bits differ) none was missed, and
+    46 at 18.75 %, which is where four shingles meet five.  Only rows whose hash a sieve of the gathered ones lets through give their shingles again, in the tasks that read them: texts are never shuffled.
     """
     names = [f"p{w}" for w in range(WORDS)]
 
