@@ -1,11 +1,13 @@
 """Operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import itertools
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +176,34 @@ def test_wide_forest(monkeypatch, large):
     assert all(across[i] == across[j] for i, j in both)
 
 
+@pytest.mark.parametrize("n", [2_000, 60_000, 600_000])
+def test_stage_buckets_stay_small(n):
+    """However many unlike fingerprints meet in a task, a family's buckets hold a few each, so that the pairs compared do not grow with the square."""
+    prints = np.random.default_rng(2).integers(0, 1 << 64, (n, simhash.WORDS), dtype=np.uint64)
+    for key in itertools.islice(simhash.family_keys(prints, [0, 1]), 3):
+        count = np.unique(key, return_counts=True)[1]
+        assert (count**2).sum() <= 2 * simhash.SHARE * n and count.max() <= simhash.LARGE
+
+
+@pytest.mark.parametrize("bits", [10, 14, 17])
+def test_stage_tables_miss_nothing(spark, monkeypatch, bits):
+    """Fingerprints that differ in 18.75 % of their bits meet in some table by its route and one of its families, whatever the ranges' width."""
+    monkeypatch.setattr(simhash, "RANGES", (bits, bits))
+    rng = np.random.default_rng(bits)
+    x = rng.integers(0, 1 << 64, (2000, simhash.WORDS), dtype=np.uint64)
+    y = x ^ np.packbits(rng.random((2000, 64 * simhash.WORDS)) < 0.1875, axis=1).view(np.uint64)
+    names = [f"p{w}" for w in range(simhash.WORDS)]
+    df = spark.createDataFrame(pd.DataFrame(np.vstack([x, y]).view(np.int64), columns=names)).select(F.array(*simhash.routes()).alias("at"))
+    at = np.array([r.at for r in df.collect()])
+    assert (at >> simhash.ROUTE == np.arange(simhash.TABLES)).all() and len(np.unique(at)) == simhash.TABLES << simhash.ROUTE
+    met = np.zeros(2000, bool)
+    for table in range(simhash.TABLES):
+        same = at[:2000, table] == at[2000:, table]
+        for a, b in zip(simhash.family_keys(x, [table]), simhash.family_keys(y, [table]), strict=True):
+            met |= same & (a == b)
+    assert (~met).sum() <= 2
+
+
 def plain_groups(root):
     first = {}
     return [first.setdefault(int(r), i) for i, r in enumerate(root)]
